@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.llm import bpe, packing, shards
+from gridlens.llm import bpe, licenses, linededup, packing, quality, shards
 
 SHARDS = 24
 
@@ -26,14 +26,29 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_read(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack(packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals and verdict for all documents."""
+    return quality.digests(_read(spark, sf_dir, "documents"))
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that stood before."""
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op4_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_linededup": linededup.ORACLE_SQL}

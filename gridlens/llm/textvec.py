@@ -35,6 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_PLACE = np.arange(1, 65, dtype=np.uint64) * _PRIME
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * _PRIME)
 
 
@@ -122,11 +123,16 @@ def windows(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np
     size = len(hashes) - n + 1
     total = np.zeros(size, np.uint64)
     for k in range(n):
-        total += mix(hashes[k : k + size] + np.uint64(k + 1) * _PRIME)
+        total += mix(hashes[k : k + size] + _PLACE[k])
     whole = row[:size] == row[n - 1 :]
     return mix(total[whole]), np.flatnonzero(whole)
 
 
+def tagged(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes that are equal only within a row."""
+    return mix(hashes + row.astype(np.uint64) * _PRIME)
+
+
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of per-byte values for each row."""
     total = np.zeros(len(values) + 1, np.int64)
