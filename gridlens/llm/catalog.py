@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.llm import bpe, licenses, linededup, packing, quality, shards
+from gridlens.llm import bpe, jaccard, licenses, linededup, packing, quality, shards
 
 SHARDS = 24
 
@@ -41,13 +41,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(_read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by five-word shingles, 0.75 and more."""
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without lines that stood before."""
     return linededup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op10_linededup)}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op9_jaccard, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
