@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.llm import bpe, caps, jaccard, licenses, linededup, packing, quality, shards
+from gridlens.llm import bpe, caps, html, jaccard, licenses, linededup, packing, quality, shards
 
 SHARDS = 24
 
@@ -41,6 +41,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(_read(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all embeddings, cosine 0.95 and more."""
     return caps.near_duplicates(_read(spark, sf_dir, "embeddings"))
@@ -57,7 +62,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op7_caps, op9_jaccard, op10_linededup)}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op6_html, op7_caps, op9_jaccard, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
