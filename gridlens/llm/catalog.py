@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.llm import bpe, caps, html, jaccard, licenses, linededup, packing, quality, shards
+from gridlens.llm import bpe, caps, html, jaccard, licenses, linededup, packing, pii, quality, shards
 
 SHARDS = 24
 
@@ -51,6 +51,11 @@ def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digests(_read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by five-word shingles, 0.75 and more."""
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -62,7 +67,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op6_html, op7_caps, op9_jaccard, op10_linededup)}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op6_html, op7_caps, op8_pii, op9_jaccard, op10_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
