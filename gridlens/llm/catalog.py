@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gridlens.llm import bpe, caps, html, jaccard, licenses, linededup, packing, pii, quality, shards
 
 SHARDS = 24
@@ -67,8 +68,9 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op6_html, op7_caps, op8_pii, op9_jaccard, op10_linededup)}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op6_html, op7_caps, op8_pii, op9_jaccard, op10_linededup)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_linededup": linededup.ORACLE_SQL}
+    found = {"op10_linededup": linededup.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
