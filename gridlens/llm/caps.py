@@ -28,7 +28,7 @@ from gridlens.llm.components import components
 from gridlens.llm.frames import stored
 
 COSINE = 0.95
-LIST, FILL, CELL, POT = 28, 64, 1024, 32
+LIST, LEAST, FILL, CELL, POT = 28, 6, 64, 1024, 32
 
 
 @lru_cache(maxsize=8)
@@ -54,7 +54,7 @@ def code_size(vectors: int) -> int:
 
 
 def list_decode(unit: np.ndarray, words: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, filter) for all directions that exceed the threshold; each vector has its best direction at least."""
+    """(vector, filter) for all directions that exceed the threshold; each vector has its LEAST best directions at least."""
     dim = unit.shape[1]
     rotation, left, right, level = _code(dim, words, seed)
     turned = unit @ rotation
@@ -64,7 +64,9 @@ def list_decode(unit: np.ndarray, words: int, seed: int = 7) -> tuple[np.ndarray
     order = np.argsort(-b, axis=1)
     ranked = np.take_along_axis(b, order, 1)
     # A word of the left half counts if the best of the right half can lift it over the level.
-    level = np.minimum(level, a.max(1) + ranked[:, 0])
+    tops = np.sort(a, axis=1)[:, : -LEAST - 1 : -1]
+    sums = np.sort((tops[:, :, None] + ranked[:, None, :LEAST]).reshape(len(unit), -1), axis=1)
+    level = np.minimum(level, sums[:, -LEAST])
     row, word = np.nonzero(a + ranked[:, :1] >= level[:, None])
     rest = level[row] - a[row, word]
     # How many of the right half's sorted scores reach the rest, by bisection in all rows at once.
