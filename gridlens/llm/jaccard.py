@@ -7,8 +7,7 @@ partner is on one of its size - T + 1 shortest lists. Only these are exchanged a
 never merged, a candidate is probed for their shingles by binary search.
 
 Components do not need every link. Classes are first linked to leaders: in groups of equal minimum hash, each class is
-compared with a few leaders, over several rounds in which only leaders go on. Groups are cut into parts of bounded size. Then the
-exact search runs, merging only lists across the components found so far, so a large group of near copies is not
+compared with one leader, over several rounds in which those go on that have not been linked. Then the exact search runs, merging only lists across the components found so far, so a large group of near copies is not
 expanded into its pairs, and no link between different components is missed.
 
 Postings travel packed: one row holds a bucket's postings from a slice of texts, each class once for each slice.
@@ -34,7 +33,7 @@ from gridlens.llm.frames import parallelism, stored
 from gridlens.llm.textvec import LOWER, NOT_SPACE, Runs, flat_bytes, mix, slices, windows
 
 WORDS, PERCENT = 5, 75
-ROUNDS, GROUP, LEADERS = 3, 64, 4
+ROUNDS = 4
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64))
 
 
@@ -180,30 +179,25 @@ def _sorted(raw: bytes) -> np.ndarray:
 
 
 def leader_links(classes: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b) links of classes to leaders; every linked pair is checked, not every pair that could link is found."""
+    """(a, b) links of classes to leaders; every linked pair is checked, not every pair that could link is found.
 
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, leaders = None, []
+    The leader of a group of equal minimum hash is the class with the fewest shingles of its own: copies that differ each
+    in their own way all share those of their origin. Each member is compared with its leader alone, so a group is never
+    in one place and the skew join may split it.
+    """
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.key, row.part) != group:
-                    group, leaders = (row.key, row.part), []
-                own = _sorted(row.shingles)
-                leader = next((k for k, m, other in leaders if _linked(own, row.size, other, m, percent)), None)
-                if leader is not None:
-                    out.append((leader, row.name))
-                elif len(leaders) < LEADERS:
-                    leaders.append((row.name, row.size, own))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+            good = [_linked(_sorted(x), n, _sorted(lead["shingles"]), lead["size"], percent) for x, n, lead in zip(batch["shingles"], batch["size"], batch["lead"], strict=True)]
+            yield pd.DataFrame({"a": [lead["name"] for lead in batch["lead"][good]], "b": batch["name"][good]}, dtype=np.int64)
 
     found, left = None, classes
+    lone = F.col("size") - F.length("shingles") / 8
     for r in range(rounds):
         key = f"key{r}"
-        groups = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        near = left.join(groups, key).select(F.col(key).alias("key"), F.pmod(F.xxhash64("name"), F.ceil(F.col("_n") / GROUP)).alias("part"), "name", "size", "shingles")
-        near = near.repartition("key", "part").sortWithinPartitions("key", "part", "name")
-        links = stored(near.mapInPandas(lead, "a long, b long"))
+        leaders = left.groupBy(key).agg(F.min_by(F.struct("name", "size", "shingles"), F.struct(lone, "name")).alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+        near = left.join(leaders, key).where(F.col("name") != F.col("lead.name")).select("name", "size", "shingles", "lead")
+        links = stored(near.mapInPandas(check, "a long, b long"))
         found = links if found is None else found.unionByName(links)
         left = left.join(links.select(F.col("b").alias("name")), "name", "left_anti")
     return found
