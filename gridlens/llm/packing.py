@@ -9,6 +9,7 @@ the r-th piece of a length takes the r-th place planned for that length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,29 +23,77 @@ from pyspark.sql import functions as F
 from gridlens.llm.frames import gapless_rank, stored
 
 LIMIT = 4096
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_PARTS = 400_000, 800_000
 RANK_PARTS = 256
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class WordCoder:
+    """Ids of white-space-separated words. The tokenizer never joins across white space, so each distinct word is coded
+    once; a word of plain letters with marks behind it falls into those two parts, which are coded many to a call.
+    What is kept is bounded in number; words are short but for a few.
+    """
+
+    #: Letters that no normalisation joins with others and that have one lower-case letter each; then marks but the apostrophe.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _code(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4") for c in coded]
+
+    def learn(self, new: list[bytes]) -> None:
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words = {}
+        if len(self.parts) > CACHED_PARTS:
+            self.parts = {}
+        plain, other, missing = [], [], set()
+        for word in new:
+            found = self.PLAIN.fullmatch(word.decode())
+            if found:
+                pair = found[1].lower(), found[2]
+                plain.append((word, pair))
+                missing.update(p for p in pair if p and p not in self.parts)
+            else:
+                other.append(word)
+        todo = list(missing)
+        for i in range(0, len(todo), 8192):
+            some = todo[i : i + 8192]
+            ids = np.concatenate(self._code([" ".join(some[k : k + 64]) for k in range(0, len(some), 64)]))
+            cuts = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1]) * 4
+            raw = ids.tobytes()
+            for part, lo, hi in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                self.parts[part] = raw[lo:hi]
+        self.parts[""] = b""
+        for word, (letters, marks) in plain:
+            self.words[word] = self.parts[letters] + self.parts[marks]
+        for i in range(0, len(other), 8192):
+            for word, ids in zip(other[i : i + 8192], self._code([w.decode() for w in other[i : i + 8192]]), strict=True):
+                self.words[word] = ids.tobytes()
 
-    return Tokenizer.from_file(path), {}
+
+@lru_cache(maxsize=2)
+def _coder(path: str) -> WordCoder:
+    return WordCoder(path)
 
 
 def token_ids(texts: list[str | None], path: str, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of each text, then `end_id`. The tokenizer never joins across white space, so each distinct word is encoded once."""
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHED_WORDS:
-        known.clear()
+    """Ids of each text, then `end_id`."""
+    coder = _coder(path)
     words = [t.encode().split() if t else [] for t in texts]
-    new = list({w for found in words for w in found} - known.keys())
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for word, coded in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(coded.ids, "<u4").tobytes()
+    wanted = set().union(*words)
+    coder.learn(list(wanted - coder.words.keys()))
+    coder.learn(list(wanted - coder.words.keys()))  # those that a clearing has dropped
     end = np.array([end_id], "<u4").tobytes()
+    known = coder.words
     for found in words:
         yield np.frombuffer(b"".join([known[w] for w in found]) + end, "<u4")
 
