@@ -1,5 +1,126 @@
-"""Queries to come."""
+"""Queries over bands, names, items and stages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridlens.functions import vocab
+from gridlens.operators import apply, bands, kv, rows, survey
+from gridlens.plans.read_queries import GB, GK, GO
 from gridlens.plans.registry import registry
+from gridlens.plans.survey_queries import BOUNDS, KEYS, ROLES, order_roles
+from gridlens.session import table
+from gridlens.sources import grids
 
 QUERIES, query = registry()
+_SUBS = ", ".join(f"'{x}'" for x in vocab.SUB_LABELS)
+_PROBE = f"""d as (select sheet, r, c from cells where dtype = 'date'), t as (select sheet, r, c, sval, lower(sval) in ({_SUBS}) as is_sub from cells where dtype = 'str'),
+facts as (select d.sheet, d.r, list(d.c order by d.c) as cols, count(t1.c) as s1, count(t2.c) as s2, coalesce(bool_and(t1.is_sub), false) as only_sub
+  from d left join t t1 on t1.sheet = d.sheet and t1.r = d.r - 1 and t1.c = d.c left join t t2 on t2.sheet = d.sheet and t2.r = d.r - 2 and t2.c = d.c group by d.sheet, d.r having count(*) >= 2),
+probe as (select sheet, r, cols, case when s1 >= greatest(2, len(cols) // 2) then case when only_sub and s2 >= 1 then r - 2 else r - 1 end when s2 >= greatest(2, len(cols) // 2) then r - 2 end as sh from facts)"""
+_BANDS = f"""{GB}, {_PROBE}, named as (select p.sheet, p.r, p.sh, p.cols,
+    (select min(t.c * 100000 + t.r) from t where t.sheet = p.sheet and t.r = p.sh and not list_contains(p.cols, t.c)) as beside,
+    (select min(t.c) from t where t.sheet = p.sheet and t.r = p.sh - 1) as over_c,
+    (select count(*) from t where t.sheet = p.sheet and t.r = p.sh and list_contains(p.cols, t.c)) as n_stage from probe p where sh is not null),
+cellnames as (select *, case when beside is not null then chr(cast(64 + beside // 100000 as int)) || cast(sh as varchar) when over_c is not null then chr(cast(64 + over_c as int)) || cast(sh - 1 as varchar) else 'A' || cast(sh as varchar) end as name_cell from named where n_stage > 0),
+found as (select * from (select *, row_number() over (partition by sheet, name_cell order by r) as k from cellnames) x where k = 1)"""
+_STAGES = f"""{_BANDS}, stages as (select f.sheet, f.r, f.sh, t.sval as stage, max(t.c) as pc from found f join t on t.sheet = f.sheet and t.r = f.sh and list_contains(f.cols, t.c) group by f.sheet, f.r, f.sh, t.sval),
+subs as (select s.sheet, s.r, s.stage, l.sval as sub_label, max(l.c) as sub_col from stages s join t l on l.sheet = s.sheet and l.r = s.sh + 1 and l.is_sub and l.c > s.pc
+  where not exists (select 1 from stages o where o.sheet = s.sheet and o.r = s.r and (o.pc = l.c or (o.pc > s.pc and o.pc < l.c))) group by s.sheet, s.r, s.stage, l.sval),
+kept as (select s.sheet, s.r, s.stage, s.pc, u.sub_label, u.sub_col from stages s left join subs u on u.sheet = s.sheet and u.r = s.r and u.stage = s.stage
+  where u.sub_col is not null or not exists (select 1 from subs z where z.sheet = s.sheet and z.r = s.r))"""
+
+
+def order_items(spark, sf):
+    """The items of the order grid, made once."""
+    return grids.kept(spark, sf, "order items", lambda: apply.items_by_row(grids.cells(spark, sf, "orders"), grids.merges(spark, sf), order_roles(spark, sf), apply.name_map(spark)))
+
+
+def _bands(spark, sf):
+    cells = grids.cells(spark, sf, "bands")
+    none = grids.merges(spark, sf).where("false")
+
+    def make():
+        found = bands.bands(cells)
+        return bands.layouts(found, bands.sub_rows(cells, found))
+
+    return cells, none, grids.kept(spark, sf, "bands laid out", make)
+
+
+def _stage_columns(spark, sf):
+    return grids.kept(spark, sf, "stage columns", lambda: bands.stage_columns(*_bands(spark, sf)))
+
+
+@query(f"{GB}, {_PROBE} select sheet, r, sh as sub_header, len(cols) as n_dates from probe where sh is not null")
+def sub_header_probe(spark, sf):
+    return bands.probes(grids.cells(spark, sf, "bands")).select("sheet", "r", "sub_header", F.size("date_cols").cast("long").alias("n_dates"))
+
+
+@query(f"{_BANDS} select f.sheet, f.r, f.sh as sub_header, f.name_cell, c.sval as title, 'wide_sub_columns' as layout from found f join cells c on c.sheet = f.sheet and chr(cast(64 + c.c as int)) || cast(c.r as varchar) = f.name_cell")
+def stage_bands(spark, sf):
+    return _bands(spark, sf)[2].select("sheet", "r", "sub_header", "name_cell", "title", "layout")
+
+
+@query(f"{_STAGES} select sheet, r, stage, pc as primary_col, sub_label, sub_col from kept")
+def sub_columns_asof(spark, sf):
+    return _stage_columns(spark, sf).select("sheet", "r", "stage", "primary_col", "sub_label", "sub_col")
+
+
+@query(f"""{_STAGES}, data as (select distinct sheet, r from cells where c = 1 and r > 3), heads as (select distinct sheet, stage, pc from kept),
+ prim as (select d.sheet, d.r, h.stage, max(case when c.dtype = 'date' then cast(c.dval as date) end) as planned_date from data d join heads h on h.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = h.pc group by d.sheet, d.r, h.stage, h.pc),
+ act as (select d.sheet, d.r, k.stage, max(case when c.dtype = 'date' then cast(cast(c.dval as date) as varchar) else c.sval end) as actual from data d join (select distinct sheet, stage, sub_label, sub_col from kept where sub_label = 'Actual') k on k.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = k.sub_col group by d.sheet, d.r, k.stage)
+ select p.sheet, p.r, p.stage, p.planned_date, a.actual from prim p left join act a on a.sheet = p.sheet and a.r = p.r and a.stage = p.stage""")
+def stages_wide(spark, sf):
+    cells, none, _ = _bands(spark, sf)
+    data = grids.kept(spark, sf, "band roles", lambda: rows.row_roles(cells, none)).where("role in ('anchor', 'child')")
+    return apply.stages_wide(cells, none, data, _stage_columns(spark, sf)).select("sheet", "r", "stage", "planned_date", F.try_element_at("metadata", F.lit("actual")).alias("actual"))
+
+
+@query("select p_partkey, p_brand as raw, case when p_brand = 'Brand#11' then 'io_number' when p_brand = 'Brand#12' then 'style_code' else p_brand end as canonical from part where p_brand <> 'Brand#13'")
+def name_map_join(spark, sf):
+    names = apply.name_map(spark, {"Brand#11": "io_number", "Brand#12": "style_code", "Brand#13": "ignore"})
+    return apply.named(table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("raw")), names).select("p_partkey", "raw", "canonical")
+
+
+@query(f"""{GO} select 'C' || cast(cust as varchar) as sheet, r, cast(ord as varchar) as io_number, 'P' || cast(part as varchar) as style_code, color as color_code, cast(qty as bigint) as quantity, ship as delivery_date,
+ 'A' || cast(first_r as varchar) as io_cell from (select *, min(r) over (partition by cust, ord, kind) as first_r from go_rows) x where kind = 1""")
+def items_row(spark, sf):
+    items = order_items(spark, sf)
+    return items.select("sheet", "r", "io_number", "style_code", "color_code", "quantity", "delivery_date", F.try_element_at("cells", F.lit("io_number")).alias("io_cell"))
+
+
+@query(f"""{GO} select 'C' || cast(cust as varchar) as sheet, count(*) as n_items, cast(sum(qty) as bigint) as quantity from go_rows where kind = 1 group by cust""")
+def items_per_sheet(spark, sf):
+    items = order_items(spark, sf)
+    return items.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_items"), F.sum("quantity").alias("quantity"))
+
+
+@query(f"""{GK} select 'K' || cast(c_custkey as varchar) as sheet, cast(c_custkey as varchar) as io_number, c_mktsegment as style_code,
+ 'Order Qty' as fabric_code, case when c_custkey % 4 = 0 then cast(c_nationkey + 100 as bigint) else cast(floor(abs(c_acctbal)) as bigint) end as quantity from gk""")
+def items_sheet(spark, sf):
+    cells = grids.cells(spark, sf, "customers")
+    items = apply.items_by_keys(cells, kv.key_values(cells), apply.name_map(spark), ["workbook_id", "sheet"])
+    return items.select("sheet", "io_number", "style_code", "fabric_code", "quantity")
+
+
+@query(f"""{BOUNDS}, {KEYS}, vals as (select b.sheet, b.block_id, k.raw, v.sval, v.nval from bounds b join keys k on k.sheet = b.sheet and k.r between b."start" and b."end" join cells v on v.sheet = k.sheet and v.r = k.r and v.c = 3)
+ select sheet, block_id, max(case when raw = 'Qty' then cast(nval as bigint) end) as quantity, max(case when raw = 'Style' then sval end) as style_code from vals group by sheet, block_id""")
+def items_section(spark, sf):
+    cells = grids.cells(spark, sf, "blocks")
+    found = kv.blocks(cells.where("c = 1").select("workbook_id", "sheet", "r"), survey.blank_gaps(cells))
+    members = kv.block_members(found, kv.key_values(cells))
+    items = apply.items_by_keys(cells, members, apply.name_map(spark), ["workbook_id", "sheet", "block_id"])
+    return items.select("sheet", F.col("block_id").cast("long").alias("block_id"), "quantity", "style_code")
+
+
+@query(f"""{GO}, tops as (select sheet, c, sval from cells where r = 1) select h.sheet, h.c, h.sval as raw, (select string_agg(sval, '|' order by k) from (select c.sval, row_number() over (order by c.r) as k from cells c join roles o on o.sheet = c.sheet and o.r = c.r and o.role in ('anchor', 'child') where c.sheet = h.sheet and c.c = h.c) x where k <= 3) as samples from tops h""".replace("tops as", f"{ROLES}, tops as", 1))
+def label_samples(spark, sf):
+    from pyspark.sql.window import Window
+
+    cells, roles = grids.cells(spark, sf, "orders"), order_roles(spark, sf)
+    labels = apply.header_labels(cells, roles)
+    data = cells.join(roles.where("role in ('anchor', 'child')").select("workbook_id", "sheet", "r"), ["workbook_id", "sheet", "r"])
+    first = data.withColumn("k", F.row_number().over(Window.partitionBy("workbook_id", "sheet", "c").orderBy("r"))).where("k <= 3")
+    texts = F.when(F.length("sval") > 60, F.concat(F.left("sval", F.lit(57)), F.lit("..."))).otherwise(F.col("sval"))
+    sampled = first.groupBy("workbook_id", "sheet", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", texts.alias("t")))), lambda x: x["t"]), "|").alias("samples"))
+    return labels.join(sampled, ["workbook_id", "sheet", "c"], "left").select("sheet", "c", "raw", "samples")

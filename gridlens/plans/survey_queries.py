@@ -93,9 +93,14 @@ ROLES = """roles as (
 )"""
 
 
+def order_roles(spark, sf):
+    """The roles of the order grid, made once."""
+    return grids.kept(spark, sf, "order roles", lambda: rows.row_roles(grids.cells(spark, sf, "orders"), grids.merges(spark, sf)))
+
+
 @query(f"{GO}, {ROLES} select sheet, r, role, cast(group_id as bigint) as group_id, anchor_idx from roles")
 def row_roles(spark, sf):
-    return rows.row_roles(grids.cells(spark, sf, "orders"), grids.merges(spark, sf)).select("sheet", "r", "role", F.col("group_id").cast("long").alias("group_id"), "anchor_idx")
+    return order_roles(spark, sf).select("sheet", "r", "role", F.col("group_id").cast("long").alias("group_id"), "anchor_idx")
 
 
 _NAMES = ["header", "repeat_header", "anchor", "child", "total", "grand_total", "blank"]
@@ -103,13 +108,13 @@ _NAMES = ["header", "repeat_header", "anchor", "child", "total", "grand_total",
 
 @query(f"{GO}, {ROLES} select sheet, {', '.join(f'''count(*) filter (role = '{n}') as n_{n}''' for n in _NAMES)} from roles group by sheet")
 def role_counts(spark, sf):
-    return rows.role_counts(rows.row_roles(grids.cells(spark, sf, "orders"), grids.merges(spark, sf))).drop("workbook_id")
+    return rows.role_counts(order_roles(spark, sf)).drop("workbook_id")
 
 
 @query(f"""{GO} select 'C' || cast(cust as varchar) as sheet, r, cast(coalesce(sum(case when kind = 1 then qty end) over (partition by cust order by r rows between unbounded preceding and 1 preceding), 0) as double) as grand_sum
  from (select * from go_rows) x where kind > 0""")
 def running_totals(spark, sf):
-    roles = rows.row_roles(grids.cells(spark, sf, "orders"), grids.merges(spark, sf))
+    roles = order_roles(spark, sf)
     return roles.where("role in ('anchor', 'child', 'total', 'grand_total', 'blank')").select("sheet", "r", "grand_sum")
 
 

@@ -8,6 +8,7 @@ oracles use the same text, so both sides start from the same cells.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,18 @@ _GO_CELLS = "\n union all ".join(
         _number(_SHEET, 4, "qty", "where kind > 0", kind="float"), _date(_SHEET, 5, "ship", "where kind = 1"),
     ]
 )
+#: The same cells for Spark in one pass over the rows: the cells of a row as an array, those with a text exploded.
+_GO_INLINE = f"""
+select {_SHEET}, r, x.c, x.dtype, x.sval, x.nval, x.dval from (
+  select cust, r, explode(filter(array(
+    named_struct('c', 1, 'dtype', if(kind = 0, 'str', 'int'), 'sval', case when kind = 0 then 'IO NO' when kind = 1 and k = 1 then cast(ord as string) end, 'nval', if(kind = 0, cast(null as double), cast(ord as double)), 'dval', cast(null as timestamp)),
+    named_struct('c', 2, 'dtype', 'str', 'sval', case when kind = 0 then 'STYLE' when kind = 1 then 'P' || cast(part as string) end, 'nval', cast(null as double), 'dval', cast(null as timestamp)),
+    named_struct('c', 3, 'dtype', 'str', 'sval', case when kind = 0 then 'COLOR' when kind = 1 then color end, 'nval', cast(null as double), 'dval', cast(null as timestamp)),
+    named_struct('c', 4, 'dtype', if(kind = 0, 'str', 'float'), 'sval', if(kind = 0, 'ORDER QTY', cast(cast(qty as bigint) as string) || '.0'), 'nval', if(kind = 0, cast(null as double), qty), 'dval', cast(null as timestamp)),
+    named_struct('c', 5, 'dtype', if(kind = 0, 'str', 'date'), 'sval', case when kind = 0 then 'EX FAC DATE' when kind = 1 then cast(ship as string) || ' 00:00:00' end, 'nval', cast(null as double), 'dval', if(kind = 0, cast(null as timestamp), cast(ship as timestamp)))
+  ), x -> x.sval is not null)) as x
+  from (select cust, r, kind, k, ord, part, color, qty, ship from go_rows union all select cust, 1, 0, 1, ord, part, color, cast(null as double), ship from go_rows where r = 2)
+)"""
 _KEY_SHEET = "'customers' as workbook_id, 'K' || cast(c_custkey as string) as sheet"
 _GK_ROWS = ", ".join(["gk as (select * from customer join nation on n_nationkey = c_nationkey)"] + [f"gk{r} as (select *, {r} as r from gk)" for r in (2, 4, 5, 7, 8)])
 _GK_CELLS = "\n union all ".join(
@@ -110,22 +123,22 @@ def _query(spark: SparkSession, sf_dir: str, name: str, last: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, ...], DataFrame] = {}
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str, last: str) -> DataFrame:
-    """A grid stands for a stored table: it is made once in a session and kept where it fits, else read again."""
-    key = spark.sparkContext.applicationId, sf_dir, last
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A grid or a plan over it stands for a stored table: it is made once in a session and kept where it fits, else made again."""
+    key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _KEPT:
-        _KEPT[key] = _query(spark, sf_dir, name, last).persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
     return _KEPT[key]
 
 
 def cells(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The cells of one of the grids: orders, customers, bands or blocks."""
-    return _kept(spark, sf_dir, name, _GRIDS[name][1])
+    return kept(spark, sf_dir, f"cells {name}", lambda: _query(spark, sf_dir, name, _GO_INLINE if name == "orders" else _GRIDS[name][1]))
 
 
 def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merged regions of the order grid."""
-    return _kept(spark, sf_dir, "orders", _MERGES)
+    return kept(spark, sf_dir, "merges", lambda: _query(spark, sf_dir, "orders", _MERGES))
