@@ -23,18 +23,20 @@ from pyspark.sql import functions as F
 from gridlens.llm.frames import gapless_rank, stored
 
 LIMIT = 4096
-CACHED_WORDS, CACHED_PARTS = 400_000, 800_000
+CACHED_PARTS = 1_000_000
 RANK_PARTS = 256
 
 
 class WordCoder:
-    """Ids of white-space-separated words. The tokenizer never joins across white space, so each distinct word is coded
-    once; a word of plain letters with marks behind it falls into those two parts, which are coded many to a call.
-    What is kept is bounded in number; words are short but for a few.
+    """Ids of the parts that a text falls into before the merges; each distinct part is coded once, many to a call.
+
+    A text of plain characters is lowered and cut here just as the tokenizer would; any other is cut at ASCII white
+    space only, across which the tokenizer never joins. What is kept is bounded in number; parts are short but for a few.
     """
 
-    #: Letters that no normalisation joins with others and that have one lower-case letter each; then marks but the apostrophe.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    #: Characters that no normalisation joins with others and that have one lower-case form each, and how they are cut.
+    PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+    CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,41 +45,35 @@ class WordCoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _code(self, texts: list[str]) -> list[np.ndarray]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, "<u4") for c in coded]
-
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words = {}
-        if len(self.parts) > CACHED_PARTS:
-            self.parts = {}
-        plain, other, missing = [], [], set()
-        for word in new:
-            found = self.PLAIN.fullmatch(word.decode())
-            if found:
-                pair = found[1].lower(), found[2]
-                plain.append((word, pair))
-                missing.update(p for p in pair if p and p not in self.parts)
-            else:
-                other.append(word)
-        todo = list(missing)
-        for i in range(0, len(todo), 8192):
-            some = todo[i : i + 8192]
+        return [np.array(c.ids, "<u4") for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return self.CUT.findall(text.lower())
+        return [w.decode() for w in text.encode().split()]
+
+    def learn(self, parts: set[str]) -> None:
+        """Codes the parts that are not known; afterwards all of them are."""
+        new = list(parts - self.known.keys())
+        if len(self.known) + len(new) > CACHED_PARTS:
+            self.known, new = {}, list(parts)
+        # A part of plain letters ends in a token that ends a word, so many can be told apart in one text.
+        simple = [p for p in new if p.isalpha() and self.PLAIN.fullmatch(p)]
+        for i in range(0, len(simple), 8192):
+            some = simple[i : i + 8192]
             ids = np.concatenate(self._code([" ".join(some[k : k + 64]) for k in range(0, len(some), 64)]))
             cuts = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1]) * 4
             raw = ids.tobytes()
-            for part, lo, hi in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.parts[part] = raw[lo:hi]
-        self.parts[""] = b""
-        for word, (letters, marks) in plain:
-            self.words[word] = self.parts[letters] + self.parts[marks]
-        for i in range(0, len(other), 8192):
-            for word, ids in zip(other[i : i + 8192], self._code([w.decode() for w in other[i : i + 8192]]), strict=True):
-                self.words[word] = ids.tobytes()
+            self.known.update(zip(some, [raw[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], strict=True))
+        rest = [p for p in new if p not in self.known]
+        for i in range(0, len(rest), 8192):
+            for part, ids in zip(rest[i : i + 8192], self._code(rest[i : i + 8192]), strict=True):
+                self.known[part] = ids.tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -88,14 +84,11 @@ def _coder(path: str) -> WordCoder:
 def token_ids(texts: list[str | None], path: str, end_id: int) -> Iterator[np.ndarray]:
     """Ids of each text, then `end_id`."""
     coder = _coder(path)
-    words = [t.encode().split() if t else [] for t in texts]
-    wanted = set().union(*words)
-    coder.learn(list(wanted - coder.words.keys()))
-    coder.learn(list(wanted - coder.words.keys()))  # those that a clearing has dropped
-    end = np.array([end_id], "<u4").tobytes()
-    known = coder.words
-    for found in words:
-        yield np.frombuffer(b"".join([known[w] for w in found]) + end, "<u4")
+    cut = [coder.cut(t) for t in texts]
+    coder.learn(set().union(*cut))
+    get, end = coder.known.__getitem__, np.array([end_id], "<u4").tobytes()
+    for parts in cut:
+        yield np.frombuffer(b"".join(map(get, parts)) + end, "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = 1) -> DataFrame:
