@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridlens.llm.frames import gapless_rank, stored
 
 LIMIT = 4096
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 700_000
 RANK_PARTS = 256
 
 

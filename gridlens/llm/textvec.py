@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
 #: Bytes that are not ASCII white space (space and \t \n \v \f \r).
@@ -85,7 +85,7 @@ class Runs:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, part: int = 1 << 20) -> np.ndarray:
+    def hashes(self, part: int = 1 << 19) -> np.ndarray:
         """A 64-bit hash of each run's folded bytes; equal runs have equal hashes in any batch or process."""
         out = np.empty(len(self), np.uint64)
         lengths = self.end - self.start
