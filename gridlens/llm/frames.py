@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +32,6 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def keep_columns(df: DataFrame, names: Iterable[str], prefix: str) -> tuple[DataFrame, dict[str, str]]:
-    """Renames columns that clash with `names` (any case); returns the new names by old name."""
-    taken = {n.lower() for n in names}
-    moved = {c: f"{prefix}{c}" for c in df.columns if c.lower() in taken}
-    return df.withColumnsRenamed(moved), moved
-
-
 def gapless_rank(df: DataFrame, group: str, order: list[Column], spread: Column, buckets: int, out: str) -> DataFrame:
     """Adds `out`, numbers 0, 1, 2 ... without gaps within each `group`, in order of (spread bucket, order).
 
