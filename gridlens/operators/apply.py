@@ -31,6 +31,28 @@ def header_labels(cells: DataFrame, roles: DataFrame, claimed: DataFrame | None
     return heads.join(claimed, [*SHEET, "c"], "left_anti") if claimed is not None else heads
 
 
+def title_rows(cells: DataFrame, roles: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    """(extra_row) of sheets whose header rows label under half of the columns that their data rows fill: the row below
+    the last header row, which then holds the labels."""
+    data = cells.join(roles.where("role in ('anchor', 'child')").select(*SHEET, "r"), [*SHEET, "r"], "left_semi")
+    filled = data.join(claimed, [*SHEET, "c"], "left_anti") if claimed is not None else data
+    populated = filled.groupBy(*SHEET).agg(F.count_distinct("c").alias("populated"))
+    labels = header_labels(cells, roles, claimed).groupBy(*SHEET).agg(F.count(F.lit(1)).alias("labels"))
+    last = roles.where("role = 'header'").groupBy(*SHEET).agg((F.max("r") + 1).alias("extra_row"))
+    both = last.join(populated, SHEET).join(labels, SHEET, "left").withColumn("labels", F.coalesce("labels", F.lit(0)))
+    return both.where(F.col("labels") * 2 < F.col("populated"))
+
+
+def with_title_rows(roles: DataFrame, extra: DataFrame) -> DataFrame:
+    """Roles in which those rows, and the children under them, are header rows."""
+    joined = roles.join(extra.select(*SHEET, "extra_row"), SHEET, "left")
+    title = (F.col("r") == F.col("extra_row")) & F.col("role").isin("anchor", "child", "blank")
+    below = (F.col("role") == "child") & (F.col("anchor_idx") == F.col("extra_row"))
+    changed = F.coalesce(title | below, F.lit(False))
+    cleared = {c: F.when(~changed, F.col(c)) for c in ("anchor_idx", "group_id") if c in roles.columns}
+    return joined.withColumn("_changed", changed).withColumns({"role": F.when(changed, "header").otherwise(F.col("role")), **cleared}).drop("_changed", "extra_row")
+
+
 def routed(values: DataFrame) -> DataFrame:
     """Adds field, is_field, as_text, as_int, as_date and confidence to values (canonical, dtype, sval, nval, dval, source).
 

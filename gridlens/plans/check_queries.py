@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlens.functions import scalars, vocab
 from gridlens.operators import check, kv, survey
 from gridlens.operators.read import sheets
-from gridlens.plans.apply_queries import _bands, _stage_columns, order_items
+from gridlens.plans.apply_queries import _STAGES, _bands, _stage_columns, order_items
 from gridlens.plans.read_queries import GK, GO, GS
 from gridlens.plans.registry import registry
 from gridlens.plans.survey_queries import KEYS, ROLES, order_roles
@@ -70,7 +70,8 @@ def chk_count(spark, sf):
     return check.item_counts(sheets(cells), none, survey.key_hits(cells)).select("sheet", "max_row")
 
 
-@query(None)
+@query(f"""{_STAGES}, places as (select distinct sheet, r, pc from kept) select p.sheet, p.r, count(*) as filled, count(*) filter (c.dtype = 'date') as dates from places p join cells c on c.sheet = p.sheet and c.r = p.r and c.c = p.pc
+ group by p.sheet, p.r having count(*) >= 2 and count(*) filter (c.dtype = 'date') < 0.5 * count(*)""")
 def chk_density(spark, sf):
     cells, _, laid = _bands(spark, sf)
     return check.date_density(cells, laid, _stage_columns(spark, sf)).select("sheet", "r", "filled", "dates")

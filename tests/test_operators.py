@@ -242,3 +242,40 @@ def test_vocabularies_are_normalised(name):
 def test_reads_on_an_empty_grid(spark):
     empty = grid(spark, {"s": {(1, 1): "x"}}).where("false")
     assert read.sheets(empty).count() == 0 and survey.modes(empty).count() == 0
+
+
+def test_title_row_over_the_real_header(spark):
+    held = {(1, 1): "IO NO list", **{(2, c): f"label {c}" for c in range(1, 6)}, **{(r, c): r * c for r in (3, 4) for c in range(1, 6)}}
+    roles = spark.createDataFrame([("w", "s", 1, "header", None, None), ("w", "s", 2, "anchor", None, 0), ("w", "s", 3, "anchor", None, 1), ("w", "s", 4, "child", 2, 1)], "workbook_id string, sheet string, r int, role string, anchor_idx int, group_id int")
+    cells = grid(spark, {"s": held})
+    extra = apply.title_rows(cells, roles)
+    assert [(r["extra_row"], r["labels"], r["populated"]) for r in extra.collect()] == [(2, 1, 5)]
+    assert [r["role"] for r in apply.with_title_rows(roles, extra).orderBy("r").collect()] == ["header", "header", "anchor", "header"]
+
+
+def test_labels_and_stored_outputs(spark, tmp_path):
+    import json
+
+    from gridlens.sources import labels
+
+    (tmp_path / "in").mkdir()
+    one = {"total_plis": 2, "plis": [{"io_number": "1", "style_code": "", "quantity": 5, "delivery_date": "2024-01-05", "confidence": {"quantity": 0.5, "io_number": None}, "new": 1, "stages": [{"name": "cut", "planned_date": "2024-01-01"}]}, {"io_number": "2"}], "warnings": []}
+    (tmp_path / "in" / "a file.json").write_text(json.dumps(one, indent=1))
+    (tmp_path / "in" / "b.json").write_text('{"plis": []}')
+    files = labels.load(spark, f"file://{tmp_path}/in")
+    got = labels.items(files).orderBy("ord").collect()
+    assert [(r["stem"], r["io_number"], r["style_code"], r["quantity"], str(r["delivery_date"])) for r in got] == [("a file", "1", None, 5, "2024-01-05"), ("a file", "2", None, None, "None")]
+    assert got[0]["confidence"] == {"quantity": 0.5} and got[0]["stages"][0]["name"] == "cut"
+    labels.save(files, f"file://{tmp_path}/out")
+    again = labels.items(labels.stored(spark, f"file://{tmp_path}/out")).orderBy("ord").collect()
+    assert [r.asDict(True) for r in again] == [r.asDict(True) for r in got]
+
+
+def test_tools_by_name():
+    from gridlens.operators.registry import TOOLS
+
+    assert len(TOOLS.names()) == 11 and TOOLS.get("peek_sheet") is read.peek
+    with pytest.raises(ValueError):
+        TOOLS.add("peek_sheet", read.peek)
+    with pytest.raises(KeyError):
+        TOOLS.get("none")
