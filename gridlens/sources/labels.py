@@ -13,7 +13,8 @@ SCHEMA = f"plis array<{ITEM}>, warnings array<string>, format string, confidence
 def load(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: its stem, items, warnings and the rest of the envelope. A file that is no JSON has null items."""
     found = spark.read.schema(SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    stem = F.regexp_extract(F.expr("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
+    name = F.url_decode(F.replace(F.expr("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # names are given as in a URL
+    stem = F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)
     return found.select(stem.alias("stem"), "*")
 
 
