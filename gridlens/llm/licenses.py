@@ -6,8 +6,8 @@ of the template's first tokens in that order (prefix filter), be large enough (l
 match enough tokens must be left on both sides (positional filter); survivors are counted exactly. Templates are few
 and fixed, so their index goes to every task; only counts of template tokens come back.
 
-A block is a line, cut into windows of `BLOCK_WORDS` words at half steps if longer; shorter templates lie within one.
-Null and empty texts have no words, labels or score. Other columns are ignored.
+A block is a window of `BLOCK_WORDS` words of a text, at half steps, whatever line breaks lie in it: notices are wrapped.
+Every run of half as many words lies within one. Null and empty texts have no words, labels or score. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,20 +90,11 @@ class Index:
 
 
 def blocks(words: Runs, size: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(word, block) pairs: every word in its line's one or two blocks; block numbers rise with the words' places."""
-    if not len(words):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
-    at = breaks[words.start]
-    fresh = np.ones(len(words), bool)
-    fresh[1:] = (at[1:] != at[:-1]) | (words.row[1:] != words.row[:-1])
-    first = np.flatnonzero(fresh)
-    line = np.cumsum(fresh) - 1
+    """(word, block) pairs: every word in its text's one or two blocks; block numbers rise with the words' places."""
     step = size // 2
-    part = (np.arange(len(words)) - first[line]) // step
-    parts = np.bincount(line, minlength=len(first))
-    parts = -(-parts // step)
-    base = (np.cumsum(parts) - parts)[line]
+    part = words.place() // step
+    parts = -(-words.per_row // step)
+    base = (np.cumsum(parts) - parts)[words.row]
     early = np.flatnonzero(part > 0)
     return np.concatenate([np.arange(len(words)), early]), np.concatenate([base + part, (base + part)[early] - 1])
 

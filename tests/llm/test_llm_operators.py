@@ -140,6 +140,20 @@ def test_license_scan(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    wrapped = {
+        "mit": "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the Software), to deal */",
+        "apache": "# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#   http://example.com",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense",
+        "bsd": "Redistribution and use in source and binary forms,\r\nwith or without modification, are permitted\r\nprovided that the following conditions are met:",
+    }
+    before = "a line of code\n" * 60
+    texts = [*wrapped.values(), *[before * k + t + "\n" + before for k, t in enumerate(wrapped.values(), 1)]]
+    got = rows(licenses.scan(documents(spark, texts)))
+    assert [got[k]["labels"] for k in range(len(texts))] == [*wrapped, *wrapped]
+    assert all(r["score"] == 1 for r in got.values())
+
+
 def test_packing_plan_packs_all_and_near_the_bound():
     for seed in range(12):
         draw = np.random.default_rng(seed)
