@@ -3,8 +3,10 @@
 Words are compared as sets. Tokens are ordered by how many blocks of the whole corpus they occur in, rarest first. A
 block contains a template if at least ceil(threshold x template size) of the template's tokens are in it. Then it must hold one
 of the template's first tokens in that order (prefix filter), be large enough (length filter), and after its first
-match enough tokens must be left on both sides (positional filter); survivors are counted exactly. Templates are few
-and fixed, so their index goes to every task; only counts of template tokens come back.
+match enough tokens must be left on both sides (positional filter). Survivors are verified: enough of the tokens must
+stand in a run of `SPAN` times the template's words, with a word that tells the license from others and without one
+that tells a rival; containment is counted over such runs. Templates are few and fixed, so their index goes to every
+task; only counts of template tokens come back.
 
 A block is a window of `BLOCK_WORDS` words of a text, at half steps, whatever line breaks lie in it: notices are wrapped.
 Every run of half as many words lies within one. Null and empty texts have no words, labels or score. Other columns are ignored.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.textvec import ALNUM, LOWER, Runs, flat_bytes, run_hash, slices
 
-THRESHOLD, BLOCK_WORDS = 0.8, 256
+THRESHOLD, BLOCK_WORDS, SPAN = 0.8, 256, 1.5
 
 #: The phrases of the base scan.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -45,6 +47,19 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+#: Words that tell a license from others. A template that holds one of its label's is found only with one of them.
+TELLING = {
+    "mit": ["mit"],
+    "apache": ["apache"],
+    "gpl": ["general"],
+    "lgpl": ["lesser", "library general"],
+    "agpl": ["affero"],
+    "cc-by-nc": ["nc", "noncommercial", "non commercial"],
+    "cc-by-sa": ["sa", "sharealike", "share alike"],
+    "mpl": ["mozilla"],
+}
+#: Words of rivals, which a label's templates do not hold.
+RIVAL = {"gpl": ["lesser", "affero"], "cc-by": [*TELLING["cc-by-nc"], *TELLING["cc-by-sa"], "nd", "noderivatives", "noderivs", "no derivatives", "no derivs"]}
 
 
 class Index:
@@ -66,14 +81,22 @@ class Index:
         self.by_hash = np.argsort(hashes)
         self.hashes = hashes[self.by_hash]
         self.members = [frozenset(s) for s in self.sets]
+        words = [run_hash(text, ALNUM) for _, text in templates]
+        self.span = [math.ceil(SPAN * len(w)) for w in words]
+        hashed = lambda phrases: [run_hash(p, ALNUM) for p in phrases]
+        own = [hashed(TELLING.get(label, [])) for label in self.labels]
+        self.telling = [tells if any(_places(np.array(w, np.uint64), t) for t in tells) else [] for tells, w in zip(own, words, strict=True)]
+        self.rival = [hashed(RIVAL.get(label, [])) for label in self.labels]
+        #: Every run of a template's span must lie within one block.
+        self.block_words = max([BLOCK_WORDS, *(2 * n for n in self.span)])
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's place in the global order, -1 for words of no template."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.by_hash[at], -1)
 
-    def matches(self, block: list[int], size: int) -> list[tuple[int, float]]:
-        """(template, containment) for a block's distinct template tokens in global order and its count of distinct words."""
+    def candidates(self, block: list[int], size: int) -> list[int]:
+        """Templates contained in a block's distinct template tokens in global order, given its count of distinct words."""
         out, seen = [], set()
         for j, token in enumerate(block):
             for k, i in self.prefix.get(token, ()):
@@ -83,11 +106,35 @@ class Index:
                 need, total = self.need[k], len(self.sets[k])
                 if size < need or 1 + min(total - i - 1, len(block) - j - 1) < need:
                     continue
-                common = sum(t in self.members[k] for t in block)
-                if common >= need:
-                    out.append((k, common / total))
+                if sum(t in self.members[k] for t in block) >= need:
+                    out.append(k)
         return out
 
+    def containment(self, k: int, tokens: list[int], hashes: np.ndarray) -> float:
+        """The largest containment of template k in a run of its span in a block's words; 0 if no run holds enough and tells."""
+        members, span = self.members[k], self.span[k]
+        tells = [(i, i + len(t)) for t in self.telling[k] for i in _places(hashes, t)]
+        if self.telling[k] and not tells:
+            return 0.0
+        bars = sorted(i for t in self.rival[k] for i in _places(hashes, t))
+        most = 0
+        for start in sorted({i for i, t in enumerate(tokens) if t in members} | {i for i, _ in tells}):
+            stop = min([start + span, *(i for i in bars if i >= start)])
+            if not self.telling[k] or any(start <= i and j <= stop for i, j in tells):
+                most = max(most, len(members.intersection(tokens[start:stop])))
+        return most / len(members) if most >= self.need[k] else 0.0
+
+
+def _places(hashes: np.ndarray, phrase: list[int]) -> list[int]:
+    """Where the words of a phrase stand in a row."""
+    size = len(hashes) - len(phrase) + 1
+    if size < 1:
+        return []
+    hit = np.ones(size, bool)
+    for k, word in enumerate(phrase):
+        hit &= hashes[k : k + size] == np.uint64(word)
+    return np.flatnonzero(hit).tolist()
+
 
 def blocks(words: Runs, size: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(word, block) pairs: every word in its text's one or two blocks; block numbers rise with the words' places."""
@@ -115,7 +162,7 @@ def token_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, hashed in _each_slice(batches):
             token = index.tokens(hashed)
-            word, block = blocks(words)
+            word, block = blocks(words, index.block_words)
             held = token[word] >= 0
             pair = np.unique(block[held] * len(index.order) + token[word][held])
             found, n = np.unique(pair % len(index.order), return_counts=True)
@@ -128,7 +175,7 @@ def token_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> dict
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest containment of a template found in a block, 1 where a base phrase stands, else 0.
+    score is the largest containment of a template found, 1 where a base phrase stands, else 0.
     """
     templates = TEMPLATES if templates is None else templates
     index = Index(templates, token_frequencies(docs, templates), threshold)
@@ -154,7 +201,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                 for row in np.unique(words.row[at]).tolist():
                     base[row].add(label)
             labels, score = [set(b) for b in base], np.where(count > 0, 1.0, 0.0)
-            word, block = blocks(words)
+            word, block = blocks(words, index.block_words)
             token = index.tokens(hashed)
             # Only blocks with a prefix token of some template can match.
             lead = np.zeros(len(index.order) + 1, bool)
@@ -167,10 +214,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
             cuts = np.flatnonzero(np.diff(block)) + 1
             for group in np.split(word, cuts) if len(word) else []:
                 inside = np.unique(token[group])
-                for k, share in index.matches(inside[inside >= 0].tolist(), len(np.unique(hashed[group]))):
+                for k in index.candidates(inside[inside >= 0].tolist(), len(np.unique(hashed[group]))):
                     row = int(words.row[group[0]])
-                    labels[row].add(index.labels[k])
-                    score[row] = max(score[row], share)
+                    if share := index.containment(k, token[group].tolist(), hashed[group]):
+                        labels[row].add(index.labels[k])
+                        score[row] = max(score[row], share)
             none = pa.array(count == 0)
             import pyarrow.compute as pc
 

@@ -154,6 +154,40 @@ def test_license_scan_of_wrapped_notices(spark):
     assert all(r["score"] == 1 for r in got.values())
 
 
+def test_license_scan_tells_licenses_apart(spark):
+    work = "This work is licensed under a Creative Commons Attribution"
+    free = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU"
+    published = "General Public License as published by the Free Software Foundation"
+    cases = [
+        ("Released under the Apache License, Version 2.0.", "apache"),
+        ("Released under the BSD License.", ""),
+        ("Licensed under CC BY 4.0.", ""),
+        ("Licensed under CC BY-SA 4.0.", ""),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Licensed under the MIT License, Version 2.0", "mit"),
+        ("It was released in May under pressure, and the owner of the shop lost a license; mit is German for with.", ""),
+        ("released under\n" + "a line of code\n" * 60 + "the mit", ""),
+        ("Released under MIT license", "mit"),
+        (f"{work}-NonCommercial 4.0 International License.", "cc-by-nc"),
+        (f"{work}-Non-Commercial 4.0 International License.", "cc-by-nc"),
+        (f"{work}-ShareAlike 4.0 International License.", "cc-by-sa"),
+        (f"{work}-NoDerivatives 4.0 International License.", ""),
+        (f"{work} 4.0 International License.", "cc-by"),
+        (f"{work}-NonCommercial 4.0 International License.\n{work} 4.0 International License.", "cc-by,cc-by-nc"),
+        (f"{work} 4.0 International License.\n{work}-NonCommercial 4.0 International License.", "cc-by,cc-by-nc"),
+        (f"{free} {published}", "gpl"),
+        (f"{free} Lesser {published}", "gpl,lgpl"),
+        (f"{free} Library {published}", "gpl,lgpl"),
+        (f"{free} Affero {published}", "agpl,gpl"),
+    ]
+    got = rows(licenses.scan(documents(spark, [text for text, _ in cases])))
+    assert [(text, got[k]["labels"]) for k, (text, _) in enumerate(cases)] == cases
+    for k, (_, template) in enumerate(licenses.TEMPLATES):
+        index = licenses.Index([licenses.TEMPLATES[k]], {}, licenses.THRESHOLD)
+        hashes = np.array(licenses.run_hash(template, licenses.ALNUM), np.uint64)
+        assert index.containment(0, index.tokens(hashes).tolist(), hashes) == 1
+
+
 def test_packing_plan_packs_all_and_near_the_bound():
     for seed in range(12):
         draw = np.random.default_rng(seed)
