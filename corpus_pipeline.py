@@ -21,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stood before; one with nothing left was a copy and goes."""
-    done = linededup.dedup_lines(docs)
+    done = linededup.dedup_lines(docs, short=True)
     return done.where("n_removed = 0 or n_removed < n_lines").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

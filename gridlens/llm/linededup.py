@@ -5,7 +5,8 @@ window is the smallest (doc_id, place), nulls first; every later occurrence cove
 DataFrame functions only: the texts are shuffled once, to meet their covered places; hot windows are counted before any
 shuffle and split by the skew join.
 
-Null texts stay null, texts with fewer than three lines that are not blank stay whole; blank lines stay. Rows alike in
+Null texts stay null, texts with fewer than three lines that are not blank stay whole, unless `short` asks for one window
+of all their lines, so that whole copies of short texts go as well; blank lines stay. Rows alike in
 doc_id and text count as one document and are treated alike. Other columns pass through; clashing ones (`_...`) too.
 """
 
@@ -27,26 +28,27 @@ def _row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.md5("text").alias("_digest")]
 
 
-def covered_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def covered_places(docs: DataFrame, window: int = WINDOW, short: bool = False) -> DataFrame:
     """(_id, _digest, _covered): for each document with later occurrences, the sorted places of the lines they cover."""
-    lines = docs.where("text is not null").select("doc_id", *_row_key(), _filled(F.col("text")).alias("_lines")).where(F.size("_lines") >= window)
+    lines = docs.where("text is not null").select("doc_id", *_row_key(), _filled(F.col("text")).alias("_lines")).where(F.size("_lines") >= (1 if short else window))
+    # The lines of a window hold no line break, so windows of unlike numbers of lines are unlike.
     hashed = F.transform(
-        F.sequence(F.lit(1), F.size("_lines") - (window - 1)), lambda at: F.unhex(F.md5(F.array_join(F.slice("_lines", at, window), "\n")))
+        F.sequence(F.lit(1), F.greatest(F.size("_lines") - (window - 1), F.lit(1))), lambda at: F.unhex(F.md5(F.array_join(F.slice("_lines", at, window), "\n")))
     )
-    placed = lines.select("doc_id", "_id", "_digest", F.posexplode(hashed).alias("_place", "_window"))
+    placed = lines.select("doc_id", "_id", "_digest", F.least(F.size("_lines"), F.lit(window)).alias("_size"), F.posexplode(hashed).alias("_place", "_window"))
     here = F.struct(F.col("doc_id"), F.col("_place"), F.col("_digest")).alias("_here")
     first = placed.groupBy("_window").agg(F.min(here).alias("_first"), F.max(here).alias("_last")).where(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
-    later = placed.join(first, "_window").where(~here.eqNullSafe(F.col("_first"))).select("_id", "_digest", "_place")
+    later = placed.join(first, "_window").where(~here.eqNullSafe(F.col("_first"))).select("_id", "_digest", "_place", "_size")
     # One bit a place would do as well; the places of one document are as many as its lines at most.
-    spans = later.select("_id", "_digest", F.explode(F.sequence(F.col("_place"), F.col("_place") + (window - 1))).alias("_at"))
+    spans = later.select("_id", "_digest", F.explode(F.sequence(F.col("_place"), F.col("_place") + F.col("_size") - 1)).alias("_at"))
     return spans.groupBy("_id", "_digest").agg(F.array_sort(F.collect_set("_at")).alias("_covered"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, short: bool = False) -> DataFrame:
     """Replaces `text` by what is left of it; adds n_lines (not blank, before) and n_removed."""
     moved = {c: f"__{c}" for c in docs.columns if c.lower() in ("_id", "_digest", "_covered", "n_lines", "n_removed")}
     own = docs.withColumnsRenamed(moved)
-    joined = own.withColumns({"_id": _row_key()[0], "_digest": _row_key()[1]}).join(covered_places(docs.select("doc_id", "text"), window), ["_id", "_digest"], "left")
+    joined = own.withColumns({"_id": _row_key()[0], "_digest": _row_key()[1]}).join(covered_places(docs.select("doc_id", "text"), window, short), ["_id", "_digest"], "left")
     none = F.array().cast("array<int>")
     lines = F.split("text", "\n")
     # Fold over the lines: those that are not blank have numbers, and go if their number is covered.

@@ -424,6 +424,16 @@ def test_line_dedup(spark, clashing, none):
     assert [r["text"] for r in same] == ["a\nb\nc"] * 2
 
 
+def test_short_copies_in_the_pipeline(spark):
+    texts = ["a b", "\na b\n \n", "a b\nc", "a b\nc", "a b\nc\nd", "c", "", None, " ", "c\na b", "x\na b\nc\nd"]
+    docs = documents(spark, texts)
+    want = {k: t for k, t in enumerate(texts) if k not in (1, 3)} | {10: "x"}
+    got = rows(corpus_pipeline.drop_repeated_lines(spark, docs, ""))
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert {k: r["n_removed"] for k, r in rows(linededup.dedup_lines(docs, short=True)).items() if r["n_removed"]} == {1: 1, 3: 2, 10: 3}
+    assert {k: r["n_removed"] for k, r in rows(linededup.dedup_lines(docs)).items() if r["n_removed"]} == {10: 3}
+
+
 def test_pipeline_stages(spark, monkeypatch):
     good = "The house and the garden of the old town were in the light of the sun. "
     own = [good.replace("old", f"old{k}").replace("house", f"house{k}") + " ".join(f"word{k}x{j} of the day{j * k + j}." for j in range(70)) for k in range(30)]
