@@ -7,7 +7,8 @@ in many layouts with and without telling markup, from a seed: no table is needed
 the same weights.
 
 A null or empty page gives an empty text. Broken markup is read as far as it goes: unclosed elements end with their
-parents, a tag without its end is text. Repeated rows get equal results.
+parents, also those whose text is skipped; an option ends at the next one, the head at the first thing that is not head
+content; a tag without its end is text. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,9 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp".split())
 SKIPPED = set("applet audio button canvas datalist head iframe map math noembed noframes noscript object optgroup option select svg template video".split())
+#: Skipped elements that may hold their like, that hold plain text, and what may stand in a head.
+NESTED, PLAIN = set("object svg template".split()), set("iframe noembed noframes".split())
+HEAD = set("base basefont bgsound html head link meta noframes noscript script style template title".split())
 SEMANTIC = set("article aside blockquote dialog figcaption figure footer form header main nav section table ul ol dl".split())
 #: Words of class, id and role attributes, by what they tell.
 CLASS_WORDS = {
@@ -47,7 +52,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _LABEL = re.compile(r"data-main=\"1\"")
-_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
+_OPTIONS = {"option": "option", "optgroup": "option optgroup", "select": "option optgroup select"}
 _KEEPS = set("ul ol dl table menu".split())
 
 
@@ -70,22 +76,56 @@ def _groups(attributes: str) -> tuple[str, ...]:
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     out: list[Block] = []
+    #: Open elements; the last value is the label, and for a skipped element whether it has an end tag of its own.
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    in_link, skip, at, raw = False, 0, 0, ""
+    in_link, skip, at = False, 0, 0
+    unended: set[str] = set()
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split()) if "&" in (joined := "".join(parts)) else " ".join(joined.split())
             if text:
                 linked = len("".join(link_parts).split())
-                out.append(Block(text, stack[-1][0] if stack else "body", tuple(stack), linked, any(s[2] for s in stack)))
+                above = tuple(s for s in stack if s[0] not in SKIPPED)
+                out.append(Block(text, above[-1][0] if above else "body", above, linked, any(s[2] for s in above)))
             parts.clear()
             link_parts.clear()
 
+    def cut(k: int) -> None:
+        nonlocal skip
+        skip -= sum(s[0] in SKIPPED for s in stack[k:])
+        opened.subtract(s[0] for s in stack[k:])
+        del stack[k:]
+
+    def close(name: str) -> None:
+        for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
+            if stack[k][0] == name:
+                cut(k)
+                break
+
+    def leave_head() -> None:
+        for k in range(len(stack) - 1, -1, -1) if opened["head"] else ():
+            if stack[k][0] == "head":
+                cut(k)
+            elif stack[k][0] not in SKIPPED or stack[k][2]:
+                break
+
+    def ended(name: str) -> re.Match | None:
+        """The end tag of the skipped element that begins before `at`, if it has one."""
+        if name in unended:
+            return None
+        tag = re.compile(rf"<(/{'' if name in NESTED | PLAIN else '?'}){name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+        if not tag:
+            unended.add(name)
+        return tag if tag and tag[1] else None
+
     def add(text: str) -> None:
-        if text and not skip and not raw:
+        if skip and stack[-1][0] == "head" and text.strip():
+            leave_head()
+        if text and not skip:
             parts.append(text)
             if in_link:
                 link_parts.append(text)
@@ -96,19 +136,27 @@ def leaf_blocks(page: str) -> list[Block]:
         closing, name = found[1], (found[2] or "").lower()
         if not name:
             continue
+        if skip and not closing and name not in HEAD:
+            leave_head()
         if name in RAW and not closing:
             end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name in SKIPPED:
             if closing:
-                skip = max(0, skip - 1)
+                close(name)
             elif not found[3].rstrip().endswith("/"):
+                end = ended(name)
+                if end and name in PLAIN:
+                    at = end.end()
+                    continue
+                while skip and name in _OPTIONS and stack[-1][0] in _OPTIONS[name].split():
+                    cut(len(stack) - 1)
+                stack.append((name, (), end is not None))
+                opened[name] += 1
                 skip += 1
-            if name == "head" and closing:
-                skip = 0
         elif name == "body" and not closing:
-            skip = 0
             flush()
+            cut(next((k for k, s in enumerate(stack) if s[0] in SKIPPED), len(stack)))
         elif name == "br":
             add(" ")
         elif name == "a":
@@ -117,20 +165,21 @@ def leaf_blocks(page: str) -> list[Block]:
             flush()
             in_link = False
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                close(name)
             elif name not in VOID and name not in ("html", "body"):
                 ends = _CLOSES.get(name, "").split()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] in ends:
-                        del stack[k:]
+                for k in range(len(stack) - 1, -1, -1) if opened["p"] or any(opened[e] for e in ends) else ():
+                    if stack[k][0] in SKIPPED:
+                        if stack[k][2]:
+                            break
+                    elif stack[k][0] == "p" or stack[k][0] in ends:
+                        cut(k)
                         if not ends or stack and stack[-1][0] in _KEEPS:
                             break
                     elif stack[k][0] in _KEEPS or not ends:
                         break
                 stack.append((name, _groups(found[3]) if found[3] else (), bool(found[3]) and bool(_LABEL.search(found[3]))))
+                opened[name] += 1
     add(page[at:])
     flush()
     return out

@@ -299,6 +299,31 @@ def test_main_text_of_pages(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<body><p>one<select><option>a<option>b</select> two</p><p>three", ["one two", "three"]),
+        ("<p>one<select><optgroup><option>a<optgroup><option>b<option>c</select> two", ["one two"]),
+        ("<div><option>a</div><p>two", ["two"]),
+        ("<datalist><option>a<option>b</datalist><p>two", ["two"]),
+        *[(f"<div><p>one <{x}>gone</div><p>two", ["one", "two"]) for x in ("button", "object", "canvas", "noscript", "video", "iframe", "svg")],
+        ("<div><p>one<canvas>gone<p>two</div>", ["one", "two"]),
+        ("<ul><li>one<button>gone<li>two<button>gone</button> three</ul>", ["one", "two three"]),
+        ("<p>one<noscript><p>gone</p>gone</noscript>", ["one"]),
+        ("<div>one<object>gone<object>gone</object>gone</object> two</div>", ["one two"]),
+        ("<div>one<iframe></div>gone</iframe> two</div>", ["one two"]),
+        ("<div><noscript><div>gone</noscript>one</div>", ["one"]),
+        ("<html><head><title>t</title><meta charset=x><p>one", ["one"]),
+        ("<head><title>t</title><noscript><img src=x>gone</noscript><link rel=x>\n<h1>one</h1>two", ["one", "two"]),
+        ("<head><title>t</title>one<p>two", ["one", "two"]),
+        ("<head><noscript>gone<body>one", ["one"]),
+        ("<head><style>gone</style></head>one", ["one"]),
+    ],
+)
+def test_skipped_elements_end_with_their_parents(page, texts):
+    assert [b.text for b in html.leaf_blocks(page)] == texts
+
+
 def test_caps_against_brute_force(spark):
     draw = np.random.default_rng(3)
     base = draw.standard_normal((40, 16))
