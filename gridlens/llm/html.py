@@ -8,7 +8,8 @@ the same weights.
 
 A null or empty page gives an empty text. Broken markup is read as far as it goes: unclosed elements end with their
 parents, also those whose text is skipped; an option ends at the next one, the head at the first thing that is not head
-content; a tag without its end is text. Repeated rows get equal results.
+content; a tag without its end is text; a quote in a tag opens a value only after an equals sign. Reading takes time in
+proportion to the page, whatever its markup. Repeated rows get equal results; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -21,17 +22,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Element names by their role in HTML.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp".split())
-SKIPPED = set("applet audio button canvas datalist head iframe map math noembed noframes noscript object optgroup option select svg template video".split())
+SKIPPED = set("applet audio button canvas datalist head iframe noembed noframes noscript object optgroup option select svg template video".split())
 #: Skipped elements that may hold their like, that hold plain text, and what may stand in a head.
 NESTED, PLAIN = set("object svg template".split()), set("iframe noembed noframes".split())
 HEAD = set("base basefont bgsound html head link meta noframes noscript script style template title".split())
+MINOR = set("section ul ol dl table blockquote figure".split())
 SEMANTIC = set("article aside blockquote dialog figcaption figure footer form header main nav section table ul ol dl".split())
 #: Words of class, id and role attributes, by what they tell.
 CLASS_WORDS = {
@@ -48,7 +51,9 @@ CLASS_WORDS = {
     "main": "article content main post entry story body text page copy prose maincontent articlebody",
 }
 _GROUP = {word: group for group, words in CLASS_WORDS.items() for word in words.split()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A tag: in attributes a quote opens a value only after an equals sign. And the same where quotes do not pair up.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+|[\"']))*+)>")
+_BARE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _LABEL = re.compile(r"data-main=\"1\"")
@@ -57,13 +62,39 @@ _OPTIONS = {"option": "option", "optgroup": "option optgroup", "select": "option
 _KEEPS = set("ul ol dl table menu".split())
 
 
+class Place:
+    """Where text stands: the element, what is around it by the nearest telling one, all telling ones, depth and label.
+
+    Made once for an element from its parent's, so that deep pages cost no more than flat ones.
+    """
+
+    __slots__ = ("tag", "near", "has", "depth", "label")
+
+    def __init__(self, tag: str = "body", near: str = "none", has: frozenset[str] = frozenset(), depth: int = 0, label: bool = False):
+        self.tag, self.near, self.has, self.depth, self.label = tag, near, has, depth, label
+
+    def inside(self, tag: str, groups: tuple[str, ...], label: bool) -> Place:
+        near, more = self.near, {f".{g}" for g in groups}
+        if tag in SEMANTIC:
+            more.add(tag)
+            if tag not in MINOR or near == "none":
+                near = tag
+        if groups:
+            near = f".{groups[-1]}"
+        return Place(tag, near, self.has | more if more - self.has else self.has, min(self.depth + 1, 6), self.label or label)
+
+
 class Block:
-    """A leaf block: its text, the element it stands in, the elements above, and how much of it is links."""
+    """A leaf block: its text, its place, and how many of its words are links."""
+
+    __slots__ = ("text", "place", "linked")
 
-    __slots__ = ("text", "tag", "above", "linked", "label")
+    def __init__(self, text: str, place: Place, linked: int):
+        self.text, self.place, self.linked = text, place, linked
 
-    def __init__(self, text: str, tag: str, above: tuple, linked: int, label: int):
-        self.text, self.tag, self.above, self.linked, self.label = text, tag, above, linked, label
+    @property
+    def label(self) -> int:
+        return int(self.place.label)
 
 
 def _groups(attributes: str) -> tuple[str, ...]:
@@ -73,24 +104,70 @@ def _groups(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class Scanner:
+    """The tags of a page in order, in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.tag = page, 0, _TAG
+        self.last = page.rfind(">")
+        self.ends: dict[str, int] = {}
+
+    def find(self, what: str) -> int:
+        """The next place of a fixed text, the end of the page if there is none; kept until it is passed."""
+        if self.ends.get(what, -1) < self.at:
+            place = self.page.find(what, self.at)
+            self.ends[what] = len(self.page) if place < 0 else place
+        return self.ends[what]
+
+    def next(self) -> tuple[str, re.Match | None] | None:
+        """(the text before, a tag or nothing for a comment or declaration); None at the end. A tag without its end is text."""
+        page, start = self.page, self.at
+        look = start
+        while (begin := page.find("<", look)) >= 0 and begin < self.last:
+            if page.startswith("<!--", begin):
+                self.at = begin + 4
+                if page.startswith((">", "->"), self.at):
+                    self.at = page.index(">", self.at) + 1
+                else:
+                    self.at = min(len(page), self.find("-->") + 3)
+                return page[start:begin], None
+            if page.startswith("<![CDATA[", begin):
+                self.at = begin
+                self.at = min(len(page), self.find("]]>") + 3)
+                return page[start:begin], None
+            if page.startswith(("<!", "<?"), begin):
+                self.at = page.index(">", begin) + 1
+                return page[start:begin], None
+            tag = self.tag.match(page, begin)
+            if tag is None and page[begin + 1 : begin + 3].lstrip("/")[:1].isalpha() and page[begin + 1 : begin + 3].lstrip("/")[:1].isascii():
+                self.tag = _BARE_TAG  # no end outside quotes up to the end of the page: from here on quotes are plain characters
+                tag = self.tag.match(page, begin)
+            if tag:
+                self.at = tag.end()
+                return page[start:begin], tag
+            look = begin + 1
+        return None
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     out: list[Block] = []
-    #: Open elements; the last value is the label, and for a skipped element whether it has an end tag of its own.
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    #: Open elements with their places; for a skipped element, whether it has an end tag of its own.
+    stack: list[tuple[str, Place, bool]] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    in_link, skip, at = False, 0, 0
-    unended: set[str] = set()
+    in_link, skip = False, 0
+    scan = Scanner(page)
     opened: Counter[str] = Counter()
+    body = Place()
+    place = lambda: stack[-1][1] if stack else body
+    next_tag: dict[str, tuple[int, bool, int]] = {}
 
     def flush() -> None:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split()) if "&" in (joined := "".join(parts)) else " ".join(joined.split())
             if text:
-                linked = len("".join(link_parts).split())
-                above = tuple(s for s in stack if s[0] not in SKIPPED)
-                out.append(Block(text, above[-1][0] if above else "body", above, linked, any(s[2] for s in above)))
+                out.append(Block(text, place(), len("".join(link_parts).split())))
             parts.clear()
             link_parts.clear()
 
@@ -113,14 +190,13 @@ def leaf_blocks(page: str) -> list[Block]:
             elif stack[k][0] not in SKIPPED or stack[k][2]:
                 break
 
-    def ended(name: str) -> re.Match | None:
-        """The end tag of the skipped element that begins before `at`, if it has one."""
-        if name in unended:
-            return None
-        tag = re.compile(rf"<(/{'' if name in NESTED | PLAIN else '?'}){name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-        if not tag:
-            unended.add(name)
-        return tag if tag and tag[1] else None
+    def ended(name: str) -> int:
+        """Where the end tag of the skipped element that begins before here ends, 0 if it has none."""
+        if next_tag.get(name, (-1,))[0] < scan.at:
+            tag = re.compile(rf"<(/{'' if name in NESTED | PLAIN else '?'}){name}(?=[\s/>])[^>]*>", re.I).search(page, scan.at)
+            next_tag[name] = (tag.start(), bool(tag[1]), tag.end()) if tag else (len(page), False, 0)
+        _, closes, end = next_tag[name]
+        return end if closes else 0
 
     def add(text: str) -> None:
         if skip and stack[-1][0] == "head" and text.strip():
@@ -130,28 +206,28 @@ def leaf_blocks(page: str) -> list[Block]:
             if in_link:
                 link_parts.append(text)
 
-    while found := _TAG.search(page, at):
-        add(page[at : found.start()])
-        at = found.end()
-        closing, name = found[1], (found[2] or "").lower()
-        if not name:
+    while (step := scan.next()) is not None:
+        before, tag = step
+        add(before)
+        if tag is None:
             continue
+        closing, name = tag[1], tag[2].lower()
         if skip and not closing and name not in HEAD:
             leave_head()
         if name in RAW and not closing:
-            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, scan.at)
+            scan.at = end.end() if end else len(page)
         elif name in SKIPPED:
             if closing:
                 close(name)
-            elif not found[3].rstrip().endswith("/"):
+            elif not tag[3].rstrip().endswith("/"):
                 end = ended(name)
                 if end and name in PLAIN:
-                    at = end.end()
+                    scan.at = end
                     continue
                 while skip and name in _OPTIONS and stack[-1][0] in _OPTIONS[name].split():
                     cut(len(stack) - 1)
-                stack.append((name, (), end is not None))
+                stack.append((name, place(), end > 0))
                 opened[name] += 1
                 skip += 1
         elif name == "body" and not closing:
@@ -178,9 +254,9 @@ def leaf_blocks(page: str) -> list[Block]:
                             break
                     elif stack[k][0] in _KEEPS or not ends:
                         break
-                stack.append((name, _groups(found[3]) if found[3] else (), bool(found[3]) and bool(_LABEL.search(found[3]))))
+                stack.append((name, place().inside(name, _groups(tag[3]) if tag[3] else (), bool(tag[3]) and bool(_LABEL.search(tag[3]))), False))
                 opened[name] += 1
-    add(page[at:])
+    add(page[scan.at :])
     flush()
     return out
 
@@ -193,25 +269,16 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
     for k, block in enumerate(blocks):
-        words = block.text.split()
-        n = len(words)
-        near, has = "none", set()
-        for tag, groups, _ in block.above:
-            if tag in SEMANTIC:
-                has.add(tag)
-                near = tag if tag not in ("section", "ul", "ol", "dl", "table", "blockquote", "figure") or near == "none" else near
-            for group in groups:
-                has.add(f".{group}")
-                near = f".{group}"
-        text = block.text
+        n = len(block.text.split())
+        text, near = block.text, block.place.near
         size = _bucket(n, (3, 6, 12, 25, 60))
         share = _bucket(block.linked / max(n, 1), (0.01, 0.3, 0.6))
-        f = ["bias", f"tag={block.tag}", f"near={near}", f"words={size}", f"links={share}", f"near={near} words={size}"]
-        f += [f"in={x}" for x in sorted(has)]
+        f = ["bias", f"tag={block.place.tag}", f"near={near}", f"words={size}", f"links={share}", f"near={near} words={size}"]
+        f += [f"in={x}" for x in sorted(block.place.has)]
         f.append("ends" if text[-1] in ".!?…:;\"”»)" else "open")
         if "©" in text or "copyright" in text.lower() or "rights reserved" in text.lower():
             f.append("copyright")
-        f.append(f"depth={min(len(block.above), 6)}")
+        f.append(f"depth={block.place.depth}")
         f.append("first" if k == 0 else "last" if k == len(blocks) - 1 else "inner")
         out.append(f)
     return out
@@ -376,11 +443,11 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """Per page: page_id, url, text and n_chars (its code points)."""
     field = field or trained()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                texts = [field.main_text(page) for page in part["html"]]
-                yield part[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                texts = [field.main_text(page) for page in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
