@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding in length-bucketed padded matrices.
 
-Distinct pieces of text (matches of the split pattern) are put in matrices of equal padded length. In each round every
-row finds the ranks of its adjacent pairs in a hash table, merges its leftmost pair of the lowest rank and is compacted;
-rows without a pair leave. A piece too long for a matrix is merged in the same order with block minima over its pairs.
-
-Null texts are empty: no ids. Repeated rows are encoded alike. Any other columns are ignored by `encode_batch`.
+Distinct pieces of text (matches of the split pattern) are put in matrices of equal padded length, a power of two. In
+each round every row finds the ranks of its adjacent pairs in a hash table, merges its leftmost pair of the lowest rank
+and is compacted; rows without a pair leave. Where that pair stands in a row more than once, the places to the right
+are merged in the same round, one after the other, up to the first merge that makes a pair of that rank or a lower one:
+just these would be the next merges of a round each. So a long piece takes few rounds, and all lengths one way.
+
+Null texts are empty: no ids. Repeated rows are encoded alike; a null key stays null. An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridlens.llm.textvec import mix
 
 NO_RANK = np.int32(2**31 - 1)
-WIDTHS = (2, 4, 8, 16, 32, 64, 128, 256)
 CACHED_PIECES = 300_000
 ROWS = 1 << 16
 
@@ -98,90 +102,78 @@ class Vocabulary:
         """The ids of each piece."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
         length = np.array([len(p) for p in pieces], np.int64)
-        low = 0
-        for width in WIDTHS:
+        low, width, longest = 0, 2, int(length.max(initial=0))
+        while low < longest:
             chosen = np.flatnonzero((length > low) & (length <= width))
-            low = width
             step = max(1, ROWS * 8 // width)
             for i in range(0, len(chosen), step):
                 self._matrix([pieces[k] for k in chosen[i : i + step]], chosen[i : i + step], width, out)
-        for k in np.flatnonzero(length > WIDTHS[-1]):
-            out[k] = self._long(pieces[k])
+            low, width = width, 2 * width
         return out
 
     def _matrix(self, pieces: list[bytes], names: np.ndarray, width: int, out: list[np.ndarray]) -> None:
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         left = np.array([len(p) for p in pieces])
         ids = np.where(np.arange(width) < left[:, None], self.single[raw], np.int32(-1))
-        rank = self.pairs.find(ids[:, :-1], ids[:, 1:])
+        rank = np.full(ids.shape, NO_RANK, np.int32)
+        rank[:, :-1] = self.pairs.find(ids[:, :-1], ids[:, 1:])
         while len(ids):
-            at = rank.argmin(axis=1)
-            best = rank[np.arange(len(ids)), at]
+            best = rank.min(axis=1)
             done = best == NO_RANK
             if done.any():
                 for row, name, n in zip(ids[done], names[done], left[done], strict=True):
                     out[name] = row[:n].copy()
                 on = ~done
-                ids, rank, names, left, at, best = ids[on], rank[on], names[on], left[on], at[on], best[on]
+                ids, rank, names, left, best = ids[on], rank[on], names[on], left[on], best[on]
                 if not len(ids):
                     return
-            # Merge, and move what follows the pair one place to the left.
-            rows, cols = np.arange(len(ids)), np.arange(ids.shape[1])
-            source = np.minimum(cols + (cols > at[:, None]), ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, source, 1)
-            ids[:, -1] = -1
-            ids[rows, at] = best
-            left = left - 1
-            cols = np.arange(rank.shape[1])
-            rank = np.take_along_axis(rank, np.minimum(cols + (cols > at[:, None]), rank.shape[1] - 1), 1)
-            rank[:, -1] = NO_RANK
-            inner = at < rank.shape[1]
-            rank[rows[inner], at[inner]] = self.pairs.find(ids[rows, at], ids[rows, np.minimum(at + 1, ids.shape[1] - 1)])[inner]
-            back = at > 0
-            rank[rows[back], at[back] - 1] = self.pairs.find(ids[rows[back], at[back] - 1], ids[rows[back], at[back]])
+            width = ids.shape[1]
+            row, at = np.nonzero(rank == best[:, None])
+            row, at = self._apart(row, at)
+            # Each merge makes a pair with what is before it, merged or not, and one with what is after it, not yet merged.
+            token = best[row]
+            flat, flat_rank = ids.ravel(), rank.ravel()
+            here = row * width + at
+            after_merge = np.zeros(len(row), bool)
+            after_merge[1:] = here[1:] - here[:-1] == 2
+            after_merge &= at > 1
+            before = np.where(at > 0, np.where(after_merge, token, flat[here - 1]), -1)
+            after = np.where(at + 2 < width, flat[np.minimum(here + 2, len(flat) - 1)], -1)
+            low, high = self.pairs.find(before, token), self.pairs.find(token, after)
+            # A merge that makes a pair of its rank or a lower one is the last of its row in this round.
+            stop = np.minimum(low, high) <= token
+            first = np.searchsorted(row, np.arange(len(ids)))
+            stops = np.cumsum(stop) - stop
+            keep = stops == stops[first[row]]
+            row, at, here, low, high, token, after_merge = (x[keep] for x in (row, at, here, low, high, token, after_merge))
+            flat[here] = token
+            flat_rank[here] = high
+            # The pair before stands where the merge before it stands, or one place to the left.
+            flat_rank[(here - 1 - after_merge)[at > 0]] = low[at > 0]
+            # Compaction: what a merge has taken in goes, the rest moves to the left.
+            stays = np.ones(ids.shape, bool)
+            stays.ravel()[here + 1] = False
+            left = left - np.bincount(row, minlength=len(ids))
             most = int(left.max())
-            if most < ids.shape[1]:
-                ids, rank = ids[:, :most], rank[:, : max(1, most - 1)]
-                if most == 1:
-                    rank = np.full((len(ids), 1), NO_RANK, np.int32)
-
-    def _long(self, piece: bytes, block: int = 512) -> np.ndarray:
-        """One piece of any length: leftmost lowest pair by block minima, neighbours by links, dead places skipped."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].astype(np.int32)
-        n = len(ids)
-        rank = np.full(-(-n // block) * block, NO_RANK, np.int32)
-        rank[: n - 1] = self.pairs.find(ids[:-1], ids[1:])
-        blocks = rank.reshape(-1, block)
-        least = blocks.min(axis=1)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ids = ids.tolist()
-        token, ranks = self.token, self.ranks
-
-        def put(i: int) -> None:
-            j = after[i]
-            rank[i] = ranks.get(token[ids[i]] + token[ids[j]], NO_RANK) if j < n else NO_RANK
-            least[i // block] = blocks[i // block].min()
-
-        while True:
-            b = int(least.argmin())
-            if least[b] == NO_RANK:
-                break
-            i = b * block + int(blocks[b].argmin())
-            ids[i] = int(rank[i])
-            j = after[i]
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            rank[j] = NO_RANK
-            least[j // block] = blocks[j // block].min()
-            put(i)
-            if before[i] >= 0:
-                put(before[i])
-        kept, i = [], 0
-        while i < n:
-            kept.append(ids[i])
-            i = after[i]
-        return np.array(kept, np.int32)
+            stays &= ids >= 0
+            size = stays.sum(1)
+            to_row = np.repeat(np.arange(len(ids)), size)
+            to = to_row * most + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            new_ids, new_rank = np.full(len(ids) * most, np.int32(-1)), np.full(len(ids) * most, NO_RANK)
+            chosen = stays.ravel()
+            new_ids[to], new_rank[to] = flat[chosen], flat_rank[chosen]
+            ids, rank = new_ids.reshape(-1, most), new_rank.reshape(-1, most)
+
+    @staticmethod
+    def _apart(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the places that overlap the merge before them: every second one of a run of neighbours."""
+        if not len(at):
+            return row, at
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+        start = np.flatnonzero(new)
+        nth = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+        return row[nth % 2 == 0], at[nth % 2 == 0]
 
 
 class Encoder:
@@ -231,23 +223,22 @@ def text_slices(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[
 def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the ids of every whole text; a null text has none. `vocabulary` is a rank file every executor can read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, pattern)
         for batch in batches:
             at = 0
-            for part in text_slices(batch["_t"].tolist()):
-                yield pd.DataFrame({"k": batch["_k"].iloc[at : at + len(part)].array, "ids": [ids for ids, _ in coder.encode(part)]})
+            for part in text_slices(batch.column("_t").to_pylist()):
+                ids = pa.array([ids for ids, _ in coder.encode(part)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("_k").slice(at, len(part)), ids], ["k", "ids"])
                 at += len(part)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}` as _k", f"`{text}` as _t").mapInPandas(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return docs.selectExpr(f"`{key}` as _k", f"`{text}` as _t").mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """Adds the bytes of each id sequence (null for null)."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("binary")
+    @F.pandas_udf("binary")
     def to_bytes(column: pd.Series) -> pd.Series:
         words = encoder(vocabulary, r"\S+").vocabulary
         return column.map(lambda x: None if x is None else words.decode(np.asarray(x, np.int64)))
@@ -258,15 +249,15 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "by
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Per document: the number of ids, the hash of the ids, and the hash of the bytes decoded from them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, pattern)
         for batch in batches:
-            rows = []
-            for part in text_slices(batch["text"].tolist()):
+            n, coded, back = [], [], []
+            for part in text_slices(batch.column("text").to_pylist()):
                 for ids, decimal in coder.encode(part):
-                    rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(coder.vocabulary.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
+                    n.append(len(ids))
+                    coded.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    back.append(hashlib.sha256(coder.vocabulary.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
