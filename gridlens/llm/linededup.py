@@ -30,40 +30,44 @@ def _row_key() -> list[Column]:
 
 def covered_places(docs: DataFrame, window: int = WINDOW, short: bool = False) -> DataFrame:
     """(_id, _digest, _covered): for each document with later occurrences, the sorted places of the lines they cover."""
-    lines = docs.where("text is not null").select("doc_id", *_row_key(), _filled(F.col("text")).alias("_lines")).where(F.size("_lines") >= (1 if short else window))
     # The lines of a window hold no line break, so windows of unlike numbers of lines are unlike.
-    hashed = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_lines") - (window - 1), F.lit(1))), lambda at: F.unhex(F.md5(F.array_join(F.slice("_lines", at, window), "\n")))
-    )
-    placed = lines.select("doc_id", "_id", "_digest", F.least(F.size("_lines"), F.lit(window)).alias("_size"), F.posexplode(hashed).alias("_place", "_window"))
+    hashed = lambda lines: F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - (window - 1), F.lit(1))), lambda at: F.unhex(F.md5(F.array_join(F.slice(lines, at, window), "\n"))))
+    # Bound in a one-element array, so that a text is split once, not for each window.
+    found = F.get(F.transform(F.array(_filled(F.col("text"))), lambda lines: F.struct(F.size(lines).alias("n"), hashed(lines).alias("windows"))), F.lit(0))
+    lines = docs.where("text is not null").select("doc_id", *_row_key(), found.alias("_found")).where(F.col("_found.n") >= (1 if short else window))
+    placed = lines.select("doc_id", "_id", "_digest", F.least(F.col("_found.n"), F.lit(window)).alias("_size"), F.posexplode("_found.windows").alias("_place", "_window"))
     here = F.struct(F.col("doc_id"), F.col("_place"), F.col("_digest")).alias("_here")
     first = placed.groupBy("_window").agg(F.min(here).alias("_first"), F.max(here).alias("_last")).where(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
     later = placed.join(first, "_window").where(~here.eqNullSafe(F.col("_first"))).select("_id", "_digest", "_place", "_size")
-    # One bit a place would do as well; the places of one document are as many as its lines at most.
+    # The places of one document are as many as its lines at most.
     spans = later.select("_id", "_digest", F.explode(F.sequence(F.col("_place"), F.col("_place") + F.col("_size") - 1)).alias("_at"))
     return spans.groupBy("_id", "_digest").agg(F.array_sort(F.collect_set("_at")).alias("_covered"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, short: bool = False) -> DataFrame:
     """Replaces `text` by what is left of it; adds n_lines (not blank, before) and n_removed."""
-    moved = {c: f"__{c}" for c in docs.columns if c.lower() in ("_id", "_digest", "_covered", "n_lines", "n_removed")}
+    moved = {c: f"__{c}" for c in docs.columns if c.lower() in ("_id", "_digest", "_covered", "_result", "n_lines", "n_removed")}
     own = docs.withColumnsRenamed(moved)
     joined = own.withColumns({"_id": _row_key()[0], "_digest": _row_key()[1]}).join(covered_places(docs.select("doc_id", "text"), window, short), ["_id", "_digest"], "left")
-    none = F.array().cast("array<int>")
-    lines = F.split("text", "\n")
-    # Fold over the lines: those that are not blank have numbers, and go if their number is covered.
-    numbered = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
-        lambda held, line: F.struct(
-            (held["at"] + F.when(line.rlike(_BLANK), 0).otherwise(1)).alias("at"),
-            F.when(~line.rlike(_BLANK) & F.array_contains("_covered", held["at"]), held["kept"]).otherwise(F.array_append(held["kept"], line)).alias("kept"),
-        ),
-    )
-    cut = F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(numbered["kept"], "\n"))
-    done = joined.withColumns({"n_lines": F.size(F.coalesce(_filled(F.col("text")), F.array().cast("array<string>"))).cast("long"), "n_removed": F.size(F.coalesce("_covered", none)).cast("long"), "text": cut})
+    # Bound in a one-element array, so that a text is split once, not for each line.
+    held = F.struct(F.split("text", "\n").alias("lines"), F.coalesce("_covered", F.array().cast("array<int>")).alias("covered"))
+    result = F.get(F.transform(F.array(held), lambda h: _without(h["lines"], h["covered"])), F.lit(0))
+    done = joined.withColumn("_result", F.when(F.col("text").isNotNull(), result))
+    done = done.withColumns({"n_lines": F.coalesce("_result.n_lines", F.lit(0)).cast("long"), "n_removed": F.size(F.coalesce("_covered", F.array().cast("array<int>"))).cast("long"), "text": F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.col("_result.text"))})
     back = {v: k for k, v in moved.items() if k.lower() not in ("n_lines", "n_removed")}
-    return done.drop("_id", "_digest", "_covered").withColumnsRenamed(back)
+    return done.drop("_id", "_digest", "_covered", "_result").withColumnsRenamed(back)
+
+
+def _without(lines: Column, covered: Column) -> Column:
+    """(n_lines, text): the lines but those that are not blank and whose number among these is covered; in linear time."""
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    numbered = F.filter(places, lambda i: ~F.get(lines, i).rlike(_BLANK))
+
+    def cut(filled: Column) -> Column:
+        kept = F.array_except(places, F.transform(covered, lambda k: F.get(filled, k)))
+        return F.struct(F.size(filled).alias("n_lines"), F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"))
+
+    return F.get(F.transform(F.array(numbered), cut), F.lit(0))
 
 
 #: DuckDB SQL for doc_id, text, n_lines and n_removed.
