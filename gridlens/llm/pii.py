@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "iban", "ssn")
 LABELERS = ("strict", "gazetteer", "context", "edges", "variety")
 CONTEXT = 40
+#: Spans that are listed in one fold; more are taken in chunks.
+CHUNK = 128
 
 #: Patterns of the base kinds, with the same matches as their plain forms; a run is entered at its start only, so no start is tried twice.
 PATTERNS = {
@@ -107,6 +110,15 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(parts: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.greatest(F.size(parts), F.lit(1)) - 1) / CHUNK).cast("int"))
+
+
 def _found(kind: str, text: Column) -> Column:
     """Spans of a kind with their values and what stands around them, in order of start."""
     shape = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
@@ -123,7 +135,16 @@ def _found(kind: str, text: Column) -> Column:
         one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(2)).alias("right"))
         return F.struct(end.alias("at"), F.when(value.isNotNull(), F.array_append(held["spans"], one)).otherwise(held["spans"]).alias("spans"))
 
-    spans = F.aggregate(numbered, first, step)["spans"]
+    def chunk(parts: Column) -> Column:
+        def add(held: Column, k: Column) -> Column:
+            own = F.aggregate(F.slice(parts, k * CHUNK + 1, F.lit(CHUNK)), F.struct(held["at"].alias("at"), F.array().cast(shape).alias("spans")), step)
+            return _bound(own, lambda o: F.struct(o["at"].alias("at"), F.array_append(held["spans"], o["spans"]).alias("spans")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("spans"))
+        return F.flatten(F.aggregate(_chunks(parts), start, add)["spans"])
+
+    # Few matches are listed in one fold, many in chunks: appending to a list copies it.
+    spans = _bound(numbered, lambda parts: F.when(F.size(parts) <= CHUNK, F.aggregate(parts, first, step)["spans"]).otherwise(chunk(parts)))
     kept = F.filter(spans, lambda s: _holds(kind, s["value"]))
     return F.when(HINTS[kind](text), F.when(F.size(values) > 0, kept).otherwise(F.array().cast(shape))).otherwise(F.array().cast(shape))
 
@@ -249,19 +270,35 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces every span by its kind in brackets; overlapping spans fall under the one that starts first."""
     found = find(docs, text)
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(held: Column, s: Column) -> Column:
-        inside = s["start"] < held["at"]
-        between = F.substring(F.col(text), held["at"] + 1, s["start"] - held["at"])
-        return F.struct(
-            F.greatest(held["at"], s["end"]).alias("at"),
-            F.when(inside, held["out"]).otherwise(F.concat(held["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
-        )
-
-    folded = F.aggregate(ordered, first, step)
-    rest = F.concat(folded["out"], F.substring(F.col(text), folded["at"] + 1, F.length(text)))
-    return found.withColumn(text, F.when(F.size("spans") > 0, rest).otherwise(F.col(text))).drop("spans")
+
+    def cover(text: Column, spans: Column, start: Column) -> Column:
+        """(at, out): the text from `start` to the end of the last span, spans replaced; the text begins at `start`."""
+
+        def step(held: Column, s: Column) -> Column:
+            inside = s["start"] < held["at"]
+            between = F.substring(text, held["at"] - start + 1, s["start"] - held["at"])
+            out = F.when(inside, held["out"]).otherwise(F.concat(held["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.struct(F.greatest(held["at"], s["end"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(spans, F.struct(start.alias("at"), F.lit("").alias("out")), step)
+
+    def whole(held: Column) -> Column:
+        body, spans = held["text"], held["spans"]
+
+        def add(state: Column, k: Column) -> Column:
+            def use(some: Column) -> Column:
+                stop = F.greatest(state["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+                part = F.substring(body, state["at"] + 1, stop - state["at"])
+                done = _bound(part, lambda text: cover(text, some, state["at"]))
+                return _bound(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(state["out"], d["out"]).alias("out")))
+
+            return _bound(F.slice(spans, k * CHUNK + 1, F.lit(CHUNK)), use)
+
+        done = F.aggregate(_chunks(spans), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add)
+        return _bound(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(body, d["at"] + 1, F.length(body))))
+
+    hidden = _bound(F.struct(F.col(text).alias("text"), ordered.alias("spans")), whole)
+    return found.withColumn(text, F.when(F.size("spans") > 0, hidden).otherwise(F.col(text))).drop("spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:
