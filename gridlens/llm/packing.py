@@ -5,6 +5,9 @@ the corpus. From the longest length down, the gap a piece leaves is looked up am
 and triples; a combination found is consumed as often as all its lengths are still available. Every such step uses up
 a length, so there are at most `limit` of them. What remains is packed by best fit. The plan then meets the pieces:
 the r-th piece of a length takes the r-th place planned for that length.
+
+A null or empty text is a document of its end token alone; a null doc_id stays null; repeated rows are packed each. Of
+`pieces` other columns of the documents are ignored, in `pack` they stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,20 +98,20 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = 1)
     """(doc_id, piece, start, length, ids_crc32): every whole document cut only where it exceeds `limit` tokens."""
     from gridlens.llm.bpe import text_slices
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, rows = 0, []
-            for part in text_slices(batch["text"].tolist()):
+            for part in text_slices(batch.column("text").to_pylist()):
                 for ids in token_ids(part, tokenizer, end_id):
                     for piece, start in enumerate(range(0, len(ids), limit)):
                         cut = ids[start : start + limit]
                         rows.append((row, piece, start, len(cut), zlib.crc32(cut.tobytes())))
                     row += 1
-            out = pd.DataFrame(rows, columns=["row", "piece", "start", "length", "ids_crc32"])
-            out.insert(0, "doc_id", batch["doc_id"].array.take(out["row"].to_numpy(np.int64)))
-            yield out.drop(columns="row")
+            own, piece, start, length, check = (list(c) for c in zip(*rows, strict=True)) if rows else ([],) * 5
+            ids = batch.column("doc_id").take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, check)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Sums:
@@ -216,18 +219,18 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     for length, low, high, sequence, _, offset in places(plan(counts, limit)):
         table.setdefault(length, []).append((low, high, sequence, offset))
     arrays = {length: np.array(rows, np.int64) for length, rows in table.items()}
-    names = [c for c in held.columns]
+    names = held.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
-            length, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for value in np.unique(length):
                 here = np.flatnonzero(length == value)
                 rows = arrays[int(value)]
                 entry = rows[np.searchsorted(rows[:, 0], rank[here], side="right") - 1]
                 sequence[here], offset[here] = entry[:, 2] + rank[here] - entry[:, 0], entry[:, 3]
-            yield batch[names].assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(run, schema)
+    return ranked.mapInArrow(run, schema)

@@ -7,7 +7,8 @@ and decides. There are at most kinds x 3^labelers x lengths patterns, so what re
 
 The four base kinds (email, ip, card, phone) are kept by their rules alone, whatever the classifier says; it adds spans
 of the other kinds. Spans are in code points, end exclusive. Null texts are empty; whole texts are searched, in linear
-time for each pattern. Copies get equal spans. Columns that clash with the added ones are replaced.
+time for each pattern. Copies get equal spans; an empty table gives an empty result. A column named like the added one
+is replaced.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ pattern; there are at most 3^rules patterns, so the counts of patterns over the
 fits the driver. EM on these counts estimates each rule's accuracies and the share of good documents; a document's
 posterior is a function of its pattern.
 
-Null and empty texts have no words and fail the base rule. Copies get equal results. Other columns pass through.
+Null and empty texts have no words and fail the base rule. Copies get equal results; an empty table gives an empty one.
+Other columns pass through, but for those named like the added ones, which are replaced.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Sharding by jump consistent hashing: a key and the shard count decide, without a ring table.
 
 Appending a shard moves 1 / (n + 1) of the keys, all of them into the new shard. Rows with equal keys share a shard,
-null keys too; other columns do not matter to it. Rows of a shard are numbered from 0 without gaps in no single task.
+null keys too; other columns do not matter to it, and an empty table gives an empty result. Rows of a shard are numbered from 0 without gaps in no single task.
 """
 
 from __future__ import annotations
