@@ -1,40 +1,59 @@
 """From raw documents to packed training sequences: five stages over the operators of gridlens.llm.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. `run`
-writes each result as Parquet and reads it again for the next.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents, whatever
+their names: a stage hands its operator doc_id and text, with the whole row beside them as one value. `run` writes each
+result as Parquet and reads it again for the next. Null texts have no words and fail the quality rules; rows with a null
+doc_id are documents like others; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.llm import jaccard, linededup, packing, pii, quality
 from gridlens.llm.frames import stored
 
+_ROW = "_whole_row"
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW))
+
+
+def _rows(done: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The whole rows again, with a new text and its length if given."""
+    row = F.col(_ROW)
+    if text is not None:
+        row = row.withField("text", text)
+        if "n_chars" in docs.columns:
+            row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return done.select(row.alias(_ROW)).select(f"{_ROW}.*")
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return _rows(quality.judge(_slim(docs)).where("kept"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stood before; one with nothing left was a copy and goes."""
-    done = linededup.dedup_lines(docs, short=True)
-    return done.where("n_removed = 0 or n_removed < n_lines").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    done = linededup.dedup_lines(_slim(docs), short=True).where("n_removed = 0 or n_removed < n_lines")
+    return _rows(done, docs, F.col("text"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates; of rows equal in doc_id and text, one."""
-    firsts = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    firsts = jaccard.near_duplicates(docs.select("doc_id", "text")).where(own).select(F.col("doc_id").alias("_first")).distinct()
+    kept = _slim(docs).join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return _rows(kept.withColumn("_digest", F.struct(F.length("text"), F.md5("text"))).dropDuplicates(["doc_id", "_digest"]), docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data replaced by the kind of each span."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _rows(pii.redact(_slim(docs)), docs, F.col("text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
