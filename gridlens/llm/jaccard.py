@@ -256,7 +256,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 _POST = "bucket int, list binary, name binary, root binary, size binary, lone binary, part binary"
-_ASKED = "bucket int, asks binary, size binary, held binary, found binary"
+_ASKED = "bucket int, asks binary, size binary, held binary, found binary, sizes binary"
 
 
 def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
@@ -304,7 +304,10 @@ def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, perce
                 other = np.flatnonzero((root != root[o]) & ((root == largest) | (np.arange(len(name)) > o)))
                 pairs.append((np.full(len(other), o), other))
             asking, found = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        # Neither the sizes nor the lists shared with anyone may rule a pair out; these tests are the same on every list.
+        most = np.minimum(size[asking] - lone[asking], size[found] - lone[found])
         good = (percent * np.maximum(size[asking], size[found]) <= 100 * np.minimum(size[asking], size[found])) & ((side[asking] < 0) | (side[asking] != side[found]))
+        good &= (100 + percent) * most >= percent * (size[asking] + size[found])
         asking, found = np.minimum(asking, found)[good], np.maximum(asking, found)[good]
         order = np.lexsort((found, asking))
         return asking[order], found[order]
@@ -320,7 +323,7 @@ def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, perce
         edges = _runs(key)
         first = np.repeat(edges[:-1], np.diff(edges))
         mixed = np.add.reduceat((root != root[first]).astype(np.int64), edges[:-1]) > 0 if len(key) else np.zeros(0, bool)
-        asks, found, held = [], [], []
+        asks, found, sizes, held = [], [], [], []
         for lo, hi in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
             q, p = met(name[lo:hi], root[lo:hi], size[lo:hi], lone[lo:hi], side[lo:hi])
             if len(q):
@@ -328,9 +331,11 @@ def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, perce
                 asks.append(lo + q[runs[:-1]])
                 held.append(np.diff(runs))
                 found.append(name[lo + p])
+                sizes.append(size[lo + p])
+        columns = [f.split()[0] for f in _ASKED.split(", ")]
         if not asks:
-            return pa.table([pa.array([], pa.int32())] + [pa.array([], pa.binary())] * 4, ["bucket", "asks", "size", "held", "found"])
-        at, held, found = np.concatenate(asks), np.concatenate(held), np.concatenate(found)
+            return pa.table([pa.array([], pa.int32())] + [pa.array([], pa.binary())] * 5, columns)
+        at, held, found, sizes = np.concatenate(asks), np.concatenate(held), np.concatenate(found), np.concatenate(sizes)
         bucket = plan.bucket(mix(name[at].view(np.uint64)))
         order = np.argsort(bucket, kind="stable")
         start = np.cumsum(held) - held
@@ -339,23 +344,26 @@ def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, perce
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             o = order[lo:hi]
             take = np.repeat(start[o] - (np.cumsum(held[o]) - held[o]), held[o]) + np.arange(int(held[o].sum()))
-            rows.append((int(bucket[o[0]]), name[at[o]].tobytes(), size[at[o]].tobytes(), held[o].tobytes(), found[take].tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "asks", "size", "held", "found"])
+            rows.append((int(bucket[o[0]]), name[at[o]].tobytes(), size[at[o]].tobytes(), held[o].tobytes(), found[take].tobytes(), sizes[take].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], columns)
 
     def merge(table: pa.Table) -> pa.Table:
         """Heap-merges the short lists of each asking class and keeps who stands on enough of them."""
-        asks, size, held, found = (_column(table, c, np.int64) for c in ("asks", "size", "held", "found"))
+        asks, size, held, found, sizes = (_column(table, c, np.int64) for c in ("asks", "size", "held", "found", "sizes"))
         stop = np.cumsum(held)
         order = np.argsort(asks, kind="stable")
         edges = _runs(asks[order])
-        least = merged(occurrences(size, percent), plan.longest, percent) if across else np.ones(len(size), np.int64)
+        # With fewer occurrences the long lists cannot make up for the rest; and a pair meets on so many lists at least.
+        own = np.repeat(size, held)
+        least = np.ones(len(found), np.int64)
+        if across:
+            left = lambda n: occurrences(n, percent) - merged(n, plan.longest, percent)
+            least = np.maximum(merged(np.minimum(own, sizes), plan.longest, percent), -(-percent * (own + sizes) // (100 + percent)) - np.maximum(left(own), left(sizes)))
         out: list[tuple[int, int, int]] = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            lists = [found[stop[k] - held[k] : stop[k]].tolist() for k in order[lo:hi].tolist()]
-            query, need = int(asks[order[lo]]), int(least[order[lo]])
-            if len(lists) < need:
-                continue
-            for partner, times in groupby(heapq.merge(*lists)):
+            lists = [(found[stop[k] - held[k] : stop[k]].tolist(), least[stop[k] - held[k] : stop[k]].tolist()) for k in order[lo:hi].tolist()]
+            query = int(asks[order[lo]])
+            for (partner, need), times in groupby(heapq.merge(*[zip(*x, strict=True) for x in lists])):
                 seen = sum(1 for _ in times)
                 if seen >= need:
                     out.append((query, partner, seen))
