@@ -9,57 +9,66 @@ from pyspark.sql.window import Window
 
 from gridlens.functions.scalars import norm
 from gridlens.operators import survey
+from gridlens.operators.read import sheets
 from gridlens.sources.grids import SHEET
 
 TOLERANCE = 0.5
 
 
-def row_facts(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """One row for each sheet row with cells: its identity and quantity cells, its region over the identity column."""
-    columns = survey.identity_columns(cells).join(survey.quantity_columns(cells), SHEET, "left")
-    keyed = cells.join(columns, SHEET)
+def row_facts(cells: DataFrame, merges: DataFrame, extents: DataFrame | None = None) -> DataFrame:
+    """One row for each row of a sheet, empty ones too: its identity and quantity cells, and its region over the identity column.
+
+    Cells, regions and rows of the extent are brought to one shape and grouped once. Of regions that overlap in the
+    identity column, the one that starts last counts.
+    """
+    extents = sheets(cells) if extents is None else extents
+    hits = survey.vocab_hits(cells).groupBy(*SHEET).agg(F.collect_set("text").alias("terms"))
+    columns = survey.identity_columns(cells).join(survey.quantity_columns(cells), SHEET, "left").join(hits, SHEET, "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    is_id = F.col("c") == F.col("id_col")
     number = (F.col("c") == F.col("qty_col")) & F.col("dtype").isin("int", "float", "bool")
-    facts = keyed.groupBy(*SHEET, "r").agg(
-        F.max(F.when(F.col("c") == F.col("id_col"), F.struct("dtype", "sval"))).alias("id"),
-        F.max(F.when(number, F.col("nval"))).alias("qty"),
-        F.first("id_col").alias("id_col"),
+    term = (F.col("dtype") == "str") & F.array_contains("terms", norm(F.col("sval")))
+    own = cells.join(columns, SHEET, "left").select(
+        *SHEET, "r", F.when(is_id, F.struct("dtype", F.coalesce(term, F.lit(False)).alias("term"))).alias("id"), F.when(number, F.col("nval")).alias("qty"), none("struct<r1:int,filled:boolean>").alias("region"), F.col("id_col").isNotNull().alias("known")
+    )
+    anchor = cells.select(*SHEET, F.col("r").alias("r1"), F.col("c").alias("c1"), F.lit(True).alias("top"))
+    over = (
+        merges.join(columns.select(*SHEET, "id_col"), SHEET).where("c1 <= id_col and id_col <= c2").join(anchor, [*SHEET, "r1", "c1"], "left")
+        .select(*SHEET, F.explode(F.sequence("r1", "r2")).alias("r"), none("struct<dtype:string,term:boolean>").alias("id"), none("double").alias("qty"), F.struct("r1", F.coalesce("top", F.lit(False)).alias("filled")).alias("region"), F.lit(True).alias("known"))
     )
-    regions = merges.join(columns, SHEET).where("c1 <= id_col and id_col <= c2").withColumn("r", F.explode(F.sequence("r1", "r2")))
-    anchor = cells.select(*SHEET, F.col("r").alias("r1"), F.col("c").alias("c1"), F.lit(True).alias("top_filled"))
-    over = regions.join(anchor, [*SHEET, "r1", "c1"], "left").groupBy(*SHEET, "r").agg(F.max(F.struct("r1", F.coalesce("top_filled", F.lit(False)).alias("filled"))).alias("region"))
-    headers = survey.vocab_hits(cells).select(*SHEET, F.col("text").alias("id_text")).distinct().withColumn("is_term", F.lit(True))
-    text = F.when(F.col("id.dtype").isin("str", "int", "float"), norm(F.col("id.sval")))
-    return facts.join(over, [*SHEET, "r"], "left").withColumn("id_text", text).join(headers, [*SHEET, "id_text"], "left").withColumn("is_term", F.coalesce("is_term", F.lit(False)))
+    every = extents.where("max_row > 0").select(*SHEET, F.explode(F.sequence(F.lit(1), F.col("max_row"))).alias("r"), none("struct<dtype:string,term:boolean>").alias("id"), none("double").alias("qty"), none("struct<r1:int,filled:boolean>").alias("region"), none("boolean").alias("known"))
+    rows = own.withColumn("occupied", F.lit(True)).unionByName(over.withColumn("occupied", F.lit(False))).unionByName(every.withColumn("occupied", F.lit(False)))
+    return rows.groupBy(*SHEET, "r").agg(F.max("id").alias("id"), F.max("qty").alias("qty"), F.max("region").alias("region"), F.coalesce(F.max("known"), F.lit(False)).alias("known"), F.max("occupied").alias("occupied"))
 
 
-def row_roles(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """(r, role, group_id, anchor_idx) for every row with cells.
+def row_roles(cells: DataFrame, merges: DataFrame, extents: DataFrame | None = None) -> DataFrame:
+    """(r, role, group_id, anchor_idx) for every row from 1 to the last.
 
     header: a vocabulary text in the identity column before the first anchor; repeat_header: later; anchor: a value that
     no region covers from above; child: covered, under an anchor; total, grand_total: no identity and a quantity that
-    is the sum of the group's, or of all, before it; else blank.
+    is the sum of the group's, or of all, before it; else blank, as are empty rows and all of a sheet without an identity
+    column.
     """
     run = Window.partitionBy(*SHEET).orderBy("r")
     so_far, before = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
-    has_id = F.col("id").isNotNull()
+    has_id, is_term = F.col("id").isNotNull(), F.coalesce(F.col("id.term"), F.lit(False))
     own_top = F.col("region").isNull() | (F.col("region.r1") == F.col("r"))
-    could = has_id & own_top
-    is_text = F.col("id.dtype") == "str"
-    facts = row_facts(cells, merges)
-    # A vocabulary text is never an anchor if it is text; a number that equals one only before the first anchor.
-    facts = facts.withColumn("sure", could & ~(F.col("is_term")))
-    facts = facts.withColumn("late", F.coalesce(F.max(F.col("sure")).over(before), F.lit(False)))
-    facts = facts.withColumn("is_anchor", F.col("sure") | (could & F.col("is_term") & ~is_text & F.col("late")))
-    facts = facts.withColumn("group_no", F.sum(F.col("is_anchor").cast("int")).over(so_far) - 1)
-    facts = facts.withColumn("last_anchor", F.last(F.when(F.col("is_anchor"), F.col("r")), ignorenulls=True).over(so_far))
-    is_child = ~has_id & F.coalesce(F.col("region.filled"), F.lit(False)) & F.col("last_anchor").isNotNull()
+    facts = row_facts(cells, merges, extents).withColumn("is_anchor", has_id & own_top & ~is_term)
+    facts = facts.withColumns({
+        "late": F.coalesce(F.max("is_anchor").over(before), F.lit(False)),
+        "group_no": F.sum(F.col("is_anchor").cast("int")).over(so_far) - 1,
+        "last_anchor": F.last(F.when(F.col("is_anchor"), F.col("r")), ignorenulls=True).over(so_far),
+    })
+    is_child = F.col("occupied") & ~has_id & F.coalesce(F.col("region.filled"), F.lit(False)) & F.col("last_anchor").isNotNull()
     facts = facts.withColumn("is_child", is_child)
     counted = F.when(F.col("is_anchor") | F.col("is_child"), F.col("qty"))
-    grouped = Window.partitionBy(*SHEET, "group_no").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    facts = facts.withColumns({"counted": counted}).withColumns({"group_sum": F.coalesce(F.sum("counted").over(grouped), F.lit(0.0)), "grand_sum": F.coalesce(F.sum("counted").over(before), F.lit(0.0))})
+    # Sums of a group before a row: the running sum of all, less what it was when the group began.
+    facts = facts.withColumn("grand_sum", F.coalesce(F.sum(counted).over(before), F.lit(0.0)))
+    start = F.max(F.when(F.col("is_anchor"), F.struct("r", "grand_sum"))).over(so_far)
+    facts = facts.withColumn("group_sum", F.when(F.col("is_anchor"), 0.0).otherwise(F.col("grand_sum") - F.coalesce(start["grand_sum"], F.lit(0.0))))
     near = lambda total: F.coalesce(F.abs(F.col(total) - F.col("qty")) < TOLERANCE, F.lit(False))
     role = (
-        F.when(F.col("is_anchor"), "anchor").when(F.col("is_term") & ~F.col("late"), "header").when(F.col("is_term") & is_text, "repeat_header")
+        F.when(~F.col("occupied") | ~F.col("known"), "blank").when(F.col("is_anchor"), "anchor").when(is_term & ~F.col("late"), "header").when(is_term, "repeat_header")
         .when(F.col("is_child"), "child").when(~has_id & F.col("last_anchor").isNotNull() & near("group_sum"), "total").when(~has_id & near("grand_sum"), "grand_total").otherwise("blank")
     )
     facts = facts.withColumn("role", role)

@@ -38,22 +38,40 @@ def date_columns(cells: DataFrame) -> DataFrame:
     return counts.where((F.col("seen") >= 2) & (F.col("dates") * 2 >= F.col("seen")))
 
 
-def blank_gaps(cells: DataFrame) -> DataFrame:
-    """(g_start, g_end): maximal runs of empty rows before the last row; gaps between neighbours among the occupied rows."""
-    rows = cells.select(*SHEET, "r").distinct()
+def blank_gaps(cells: DataFrame, extents: DataFrame | None = None) -> DataFrame:
+    """(g_start, g_end): maximal runs of empty rows of a sheet, at its start and end too; gaps between neighbours among the
+    occupied rows and the row after the last."""
+    ends = (sheets(cells) if extents is None else extents).select(*SHEET, (F.col("max_row") + 1).alias("r"))
+    rows = cells.select(*SHEET, "r").unionByName(ends).distinct()
     before = F.lag("r", 1, 0).over(Window.partitionBy(*SHEET).orderBy("r"))
     return rows.withColumn("prev", before).where("r - prev > 1").select(*SHEET, (F.col("prev") + 1).alias("g_start"), (F.col("r") - 1).alias("g_end"))
 
 
-def modes(cells: DataFrame) -> DataFrame:
+def signals(cells: DataFrame, extents: DataFrame | None = None) -> DataFrame:
+    """One row a sheet: extent, identity candidates in order of first hit, vocabulary hits by column, date columns, blank runs, key hits."""
+    extents = sheets(cells) if extents is None else extents
+    place = F.struct("r", "c")
+    hit = vocab_hits(cells).groupBy(*SHEET, "c").agg(F.min(place).alias("at"), F.transform(F.array_sort(F.collect_list(F.struct("r", "raw"))), lambda x: x["raw"]).alias("raws"))
+    hits = hit.groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("identity_candidates"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("c", "raws")))).alias("vocab_hits"))
+    dates = date_columns(cells).groupBy(*SHEET).agg(F.array_sort(F.collect_list("c")).alias("date_cols"))
+    gaps = blank_gaps(cells, extents).groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("g_start", "g_end"))).alias("gaps"))
+    keys = key_hits(cells).groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("r", "c", "raw"))).alias("key_hits"))
+    out = extents.select(*SHEET, "max_row", "max_col")
+    for part in (hits, dates, gaps, keys):
+        out = out.join(part, SHEET, "left")
+    return out
+
+
+def modes(cells: DataFrame, extents: DataFrame | None = None) -> DataFrame:
     """(mode, n_real, n_hits, n_hit_rows, n_gaps) of each sheet: row, section or sheet."""
     hits = key_hits(cells)
     candidates = vocab_hits(cells).select(*SHEET, "c").distinct()
     per_column = hits.join(candidates, [*SHEET, "c"], "left_semi").groupBy(*SHEET, "c").agg(F.count_distinct("r").alias("rows"), F.count_distinct("raw").alias("labels"))
     real = per_column.groupBy(*SHEET).agg(F.count_if((F.col("rows") == 1) | (F.col("labels") == 1)).alias("n_real"))
     counts = hits.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("r").alias("n_hit_rows"))
-    gaps = blank_gaps(cells).groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n_gaps"))
-    joined = sheets(cells).select(*SHEET).join(real, SHEET, "left").join(counts, SHEET, "left").join(gaps, SHEET, "left").na.fill(0, ["n_real", "n_hits", "n_hit_rows", "n_gaps"])
+    extents = sheets(cells) if extents is None else extents
+    gaps = blank_gaps(cells, extents).groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n_gaps"))
+    joined = extents.select(*SHEET).join(real, SHEET, "left").join(counts, SHEET, "left").join(gaps, SHEET, "left").na.fill(0, ["n_real", "n_hits", "n_hit_rows", "n_gaps"])
     mode = F.when(F.expr("n_real > 0 and n_gaps >= 2 and n_hits >= 3 and n_hit_rows >= 2"), "section").when(F.col("n_real") > 0, "row").when(F.col("n_hits") >= 2, "sheet").otherwise("row")
     return joined.withColumn("mode", mode)
 

@@ -18,11 +18,11 @@ _PROBE = f"""d as (select sheet, r, c from cells where dtype = 'date'), t as (se
 facts as (select d.sheet, d.r, list(d.c order by d.c) as cols, count(t1.c) as s1, count(t2.c) as s2, coalesce(bool_and(t1.is_sub), false) as only_sub
   from d left join t t1 on t1.sheet = d.sheet and t1.r = d.r - 1 and t1.c = d.c left join t t2 on t2.sheet = d.sheet and t2.r = d.r - 2 and t2.c = d.c group by d.sheet, d.r having count(*) >= 2),
 probe as (select sheet, r, cols, case when s1 >= greatest(2, len(cols) // 2) then case when only_sub and s2 >= 1 then r - 2 else r - 1 end when s2 >= greatest(2, len(cols) // 2) then r - 2 end as sh from facts)"""
-_BANDS = f"""{GB}, {_PROBE}, named as (select p.sheet, p.r, p.sh, p.cols,
-    (select min(t.c * 100000 + t.r) from t where t.sheet = p.sheet and t.r = p.sh and not list_contains(p.cols, t.c)) as beside,
-    (select min(t.c) from t where t.sheet = p.sheet and t.r = p.sh - 1) as over_c,
-    (select count(*) from t where t.sheet = p.sheet and t.r = p.sh and list_contains(p.cols, t.c)) as n_stage from probe p where sh is not null),
-cellnames as (select *, case when beside is not null then chr(cast(64 + beside // 100000 as int)) || cast(sh as varchar) when over_c is not null then chr(cast(64 + over_c as int)) || cast(sh - 1 as varchar) else 'A' || cast(sh as varchar) end as name_cell from named where n_stage > 0),
+_BANDS = f"""{GB}, {_PROBE}, heads as (select p.sheet, p.r, p.sh, any_value(p.cols) as cols, min(case when not list_contains(p.cols, t.c) then t.c end) as beside, count(*) filter (list_contains(p.cols, t.c)) as n_stage
+    from probe p join t on t.sheet = p.sheet and t.r = p.sh where p.sh is not null group by p.sheet, p.r, p.sh),
+overs as (select sheet, r + 1 as sh, min(c) as over_c from t group by sheet, r),
+cellnames as (select h.*, o.over_c, case when beside is not null then chr(cast(64 + beside as int)) || cast(h.sh as varchar) when over_c is not null then chr(cast(64 + over_c as int)) || cast(h.sh - 1 as varchar) else 'A' || cast(h.sh as varchar) end as name_cell,
+    case when beside is not null then h.sh when over_c is not null then h.sh - 1 end as name_r, coalesce(beside, over_c) as name_c from heads h left join overs o on o.sheet = h.sheet and o.sh = h.sh where n_stage > 0),
 found as (select * from (select *, row_number() over (partition by sheet, name_cell order by r) as k from cellnames) x where k = 1)"""
 _STAGES = f"""{_BANDS}, stages as (select f.sheet, f.r, f.sh, t.sval as stage, max(t.c) as pc from found f join t on t.sheet = f.sheet and t.r = f.sh and list_contains(f.cols, t.c) group by f.sheet, f.r, f.sh, t.sval),
 subs as (select s.sheet, s.r, s.stage, l.sval as sub_label, max(l.c) as sub_col from stages s join t l on l.sheet = s.sheet and l.r = s.sh + 1 and l.is_sub and l.c > s.pc
@@ -56,7 +56,7 @@ def sub_header_probe(spark, sf):
     return bands.probes(grids.cells(spark, sf, "bands")).select("sheet", "r", "sub_header", F.size("date_cols").cast("long").alias("n_dates"))
 
 
-@query(f"{_BANDS} select f.sheet, f.r, f.sh as sub_header, f.name_cell, c.sval as title, 'wide_sub_columns' as layout from found f join cells c on c.sheet = f.sheet and chr(cast(64 + c.c as int)) || cast(c.r as varchar) = f.name_cell")
+@query(f"{_BANDS} select f.sheet, f.r, f.sh as sub_header, f.name_cell, c.sval as title, 'wide_sub_columns' as layout from found f join cells c on c.sheet = f.sheet and c.r = f.name_r and c.c = f.name_c")
 def stage_bands(spark, sf):
     return _bands(spark, sf)[2].select("sheet", "r", "sub_header", "name_cell", "title", "layout")
 
@@ -66,8 +66,8 @@ def sub_columns_asof(spark, sf):
     return _stage_columns(spark, sf).select("sheet", "r", "stage", "primary_col", "sub_label", "sub_col")
 
 
-@query(f"""{_STAGES}, data as (select distinct sheet, r from cells where c = 1 and r > 3), heads as (select distinct sheet, stage, pc from kept),
- prim as (select d.sheet, d.r, h.stage, max(case when c.dtype = 'date' then cast(c.dval as date) end) as planned_date from data d join heads h on h.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = h.pc group by d.sheet, d.r, h.stage, h.pc),
+@query(f"""{_STAGES}, data as (select distinct sheet, r from cells where c = 1 and r > 3), stage_heads as (select distinct sheet, stage, pc from kept),
+ prim as (select d.sheet, d.r, h.stage, max(case when c.dtype = 'date' then cast(c.dval as date) end) as planned_date from data d join stage_heads h on h.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = h.pc group by d.sheet, d.r, h.stage, h.pc),
  act as (select d.sheet, d.r, k.stage, max(case when c.dtype = 'date' then cast(cast(c.dval as date) as varchar) else c.sval end) as actual from data d join (select distinct sheet, stage, sub_label, sub_col from kept where sub_label = 'Actual') k on k.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = k.sub_col group by d.sheet, d.r, k.stage)
  select p.sheet, p.r, p.stage, p.planned_date, a.actual from prim p left join act a on a.sheet = p.sheet and a.r = p.r and a.stage = p.stage""")
 def stages_wide(spark, sf):

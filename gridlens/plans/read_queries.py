@@ -55,7 +55,7 @@ def sample_rows(spark, sf):
     return found.select("sheet", "pos", "row", F.array_join("values", "|").alias("vals"))
 
 
-@query(f"{GO} select a.sheet, a.addr, b.sval from (select sheet, r, c, {_A1} as addr from cells where c = 1) a left join cells b on b.sheet = a.sheet and b.r = a.r + 1 and b.c = a.c + 2")
+@query(f"{GO} select a.sheet, a.addr, b.sval from (select sheet, r, {_A1} as addr from cells where c = 1) a left join (select sheet, r - 1 as r, sval from cells where c = 3) b on b.sheet = a.sheet and b.r = a.r")
 def rel_cell(spark, sf):
     cells = grids.cells(spark, sf, "orders")
     anchors = read.with_address(cells.where("c = 1")).select("workbook_id", "sheet", "addr")

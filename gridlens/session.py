@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,37 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder; columns are pruned by the optimiser."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, in the cluster's spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; a cluster must name one, as its machines share no disk.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-gridlens-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where}/grids-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet and read from there: later plans are short, and a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the session's intermediate tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of change of the files at a path: other files make another stamp."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))

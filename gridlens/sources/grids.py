@@ -10,10 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.session import table
+from gridlens.session import discard, stamp, stored, table
 
 SHEET = ["workbook_id", "sheet"]
 CELL_COLUMNS = "workbook_id, sheet, r, c, dtype, sval, nval, dval"
@@ -82,7 +81,7 @@ _BAND_SHEET = "'bands' as workbook_id, 'B' || cast(b as string) as sheet"
 _GB_ROWS = """
 gb_lines as (
   select l_partkey as b, cast(l_shipdate as date) as d, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) as k from lineitem
-), gb as (select b, d, cast(3 + k as int) as r, k from gb_lines where k <= 6), gb1 as (select distinct b, 2 as r from gb), gb2 as (select distinct b, 3 as r from gb)"""
+), gb as (select b, d, cast(3 + k as int) as r, k from gb_lines), gb1 as (select distinct b, 2 as r from gb), gb2 as (select distinct b, 3 as r from gb)"""
 _STAGES = ("CUTTING", "SEWING", "PACKING")
 _GB_CELLS = "\n union all ".join(
     [_text(_BAND_SHEET, 1, "'IO NO'", "", "gb1"), _text(_BAND_SHEET, 2, "'REMARK'", "", "gb1"), _number(_BAND_SHEET, 1, "b * 10 + k", "", "gb")]
@@ -90,9 +89,19 @@ _GB_CELLS = "\n union all ".join(
     + [_text(_BAND_SHEET, 3 + 2 * i + j, f"'{s}'", "", "gb2") for i in range(3) for j, s in enumerate(("Plan", "Actual"))]
     + [_date(_BAND_SHEET, 3 + 2 * i + j, f"date_add(d, {7 * i + 2 * j})", f"where (b + k + {i}) % 7 <> {j * 3}", "gb") for i in range(3) for j in (0, 1)]
 )
+#: The same cells for Spark in one pass over the lines; the two header rows come with the first line.
+_GB_INLINE = f"""
+select {_BAND_SHEET}, x.r, x.c, x.dtype, x.sval, cast(null as double) as nval, x.dval from (
+  select b, explode(filter(concat(
+    array(named_struct('r', r, 'c', 1, 'dtype', 'int', 'sval', cast(b * 10 + k as string), 'dval', cast(null as timestamp))),
+    {", ".join(f"array(named_struct('r', r, 'c', {3 + 2 * i + j}, 'dtype', 'date', 'sval', if((b + k + {i}) % 7 <> {j * 3}, cast(date_add(d, {7 * i + 2 * j}) as string) || ' 00:00:00', null), 'dval', cast(date_add(d, {7 * i + 2 * j}) as timestamp)))" for i in range(3) for j in (0, 1))},
+    if(k = 1, array({", ".join(f"named_struct('r', {r}, 'c', {c}, 'dtype', 'str', 'sval', '{t}', 'dval', cast(null as timestamp))" for r, c, t in [(2, 1, "IO NO"), (2, 2, "REMARK"), *((2, 3 + 2 * i, s) for i, s in enumerate(_STAGES)), *((3, 3 + 2 * i + j, s) for i in range(3) for j, s in enumerate(("Plan", "Actual")))])}), array())
+  ), x -> x.sval is not null)) as x from gb
+)"""
+#: A sheet of blocks holds twenty suppliers.
 _BLOCK_SHEET = "'blocks' as workbook_id, 'N' || cast(n as string) as sheet"
 _GS_ROWS = """
-gs as (select s_nationkey as n, s_suppkey as s, floor(abs(s_acctbal)) as bal, cast(1 + 5 * (row_number() over (partition by s_nationkey order by s_suppkey) - 1) as int) as r0 from supplier),
+gs as (select cast(floor(s_suppkey / 20) as bigint) as n, s_suppkey as s, floor(abs(s_acctbal)) as bal, cast(1 + 5 * (row_number() over (partition by floor(s_suppkey / 20) order by s_suppkey) - 1) as int) as r0 from supplier),
 gs0 as (select *, r0 + 1 as r from gs), gs1 as (select *, r0 + 2 as r from gs), gs2 as (select *, r0 + 3 as r from gs where s % 2 = 0)"""
 _GS_CELLS = "\n union all ".join(
     [_number(_BLOCK_SHEET, 1, "s", "", "gs0"), _text(_BLOCK_SHEET, 2, "'Qty'", "", "gs1"), _number(_BLOCK_SHEET, 3, "bal", "", "gs1"), _text(_BLOCK_SHEET, 2, "'Style'", "", "gs2"), _text(_BLOCK_SHEET, 3, "'S' || cast(s as string)", "", "gs2")]
@@ -123,22 +132,30 @@ def _query(spark: SparkSession, sf_dir: str, name: str, last: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
-_KEPT: dict[tuple[str, ...], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
+_INLINE = {"orders": _GO_INLINE, "bands": _GB_INLINE}
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A grid or a plan over it stands for a stored table: it is made once in a session and kept where it fits, else made again."""
-    key = spark.sparkContext.applicationId, sf_dir, name
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], tables: str = "customer lineitem nation orders supplier") -> DataFrame:
+    """A grid or a plan over it as a stored table: written once in a session, and again if the files under it have changed."""
+    key = spark.sparkContext.applicationId, sf_dir, name, tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables.split())
     if key not in _KEPT:
-        _KEPT[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT[key] = stored(make())
     return _KEPT[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Forgets the stored grids and plans of a session and deletes them."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
+    discard(spark)
+
+
 def cells(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The cells of one of the grids: orders, customers, bands or blocks."""
-    return kept(spark, sf_dir, f"cells {name}", lambda: _query(spark, sf_dir, name, _GO_INLINE if name == "orders" else _GRIDS[name][1]))
+    return kept(spark, sf_dir, f"cells {name}", lambda: _query(spark, sf_dir, name, _INLINE.get(name, _GRIDS[name][1])), _GRIDS[name][2])
 
 
 def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merged regions of the order grid."""
-    return kept(spark, sf_dir, "merges", lambda: _query(spark, sf_dir, "orders", _MERGES))
+    return kept(spark, sf_dir, "merges", lambda: _query(spark, sf_dir, "orders", _MERGES), _GRIDS["orders"][2])

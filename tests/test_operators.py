@@ -40,6 +40,7 @@ def scan_roles(held, merges, id_col, qty_col, terms):
     out, first, anchor, group, seen = {}, None, None, -1, []
     for r in range(1, max(r for r, _ in held) + 1):
         if not any(k[0] == r for k in held):
+            out[r] = ("blank", None, None)
             continue
         v, q = held.get((r, id_col)), held.get((r, qty_col))
         q = float(q) if isinstance(q, (int, float)) else None
