@@ -19,6 +19,53 @@ NAME_MAP = {
     "COLOR": "color_code", "COLOUR": "color_code", "FABRIC": "fabric_code", "ORDER QTY": "quantity", "QUANTITY": "quantity", "QTY": "quantity",
     "EX FAC DATE": "delivery_date", "DELIVERY DATE": "delivery_date", "REMARK": "ignore",
 }
+#: Labels of fields and of what goes to the metadata, without punctuation, by the name they stand for.
+FIELD_LABELS = {
+    "io_number": ["io", "io no", "io number", "job", "job no", "job number"],
+    "style_code": ["style no", "style number", "style code", "art no", "article no"],
+    "style_name": ["style name", "style description"],
+    "color_code": ["color", "colour", "color code", "colour code"],
+    "color_name": ["color name", "colour name"],
+    "fabric_code": ["fabric", "fabric code", "fabric quality", "material quality", "fabric type", "fabric description"],
+    "quantity": ["quantity", "qty", "order qty", "order quantity", "plan qty", "required qty", "cut qty plan"],
+    "delivery_date": ["delivery date", "delivery", "ex fac date", "ex fty date", "ex factory date", "ex factory", "etd", "eta", "etd ex factory as per p o", "shipment date"],
+    "order_receipt_date": ["order receipt", "order receipt date"],
+    "ignore": ["remark", "remarks", "s no", "sno", "sl no"],
+}
+#: Labels that name the item where no label of io_number does, else the buyer's number.
+BUYER_LABELS = ["buyer po no", "buyer po", "po no", "po number", "order no", "order ref"]
+#: Names of stages, and the headers that stand for them beside their own words.
+STAGES = (
+    "fabric lab_dip_send lab_dip_approval fit_send fit_approval art_work_send art_work_approval in_house_fabric_send in_house_fabric_approval pre_production_send pre_production_approval "
+    "first_pattern garment_pattern planned_completion_date size_set lot_card cutting feeding sewing sewing_start sewing_end final_inspection printing embroidery washing finishing packing ex_factory trims_inhouse"
+).split()
+STAGE_LABELS = {
+    "ex_factory": ["ex factory shipment", "shipment"], "final_inspection": ["fi", "inspection"], "lab_dip_send": ["l d send"], "lab_dip_approval": ["l d approval"],
+    "cutting": ["cut"], "sewing": ["sew"], "packing": ["pack"], "ignore": ["ex factory date", "ex fac date", "delivery date", "order qty", "quantity"],
+}
+#: Labels of a stage's sub-columns.
+SUB_FIELDS = {"planned_date": ["plan", "planned"], "actual_date": ["actual", "actl"], "deviation_days": ["deviation", "dev"], "comments": ["comments"], "remarks": ["remarks"]}
+#: Fields of a stage beside its name and source.
+STAGE_FIELDS = ["planned_date", "quantity", "section", "metadata", "confidence"]
+#: Names of sheets that hold no plan.
+NOISE_SHEETS = ["lab", "log", "summary", "instructions", "info", "_sheet"]
+#: Spellings of the header of a running number.
+NUMBER_LABELS = ["s no", "s.no", "sno", "s. no", "sl no"]
+#: Words in a header by which items are scored, by field; not those of the check.
+SCORED_TERMS = {
+    "io_number": ["po", "buyer", "io", "job", "order"],
+    "style_code": ["style"],
+    "color_code": ["color", "colour"],
+    "fabric_code": ["fabric", "material", "quality"],
+    "delivery_date": ["delivery", "ex factory", "etd", "ship"],
+    "quantity": ["qty", "quantity"],
+}
+#: The files of the short evaluation.
+SMOKE_FILES = [
+    "CHRISTIAN BERG- T&A", "20260129 DKN AW26 DROP 2 WOMEN NOS CK PRO STATUS", "20260420 MOP W26(1) MANOS07-08 COMPASS PRO", "FA26 YC & EUROPE T&A #1", "63261-TNA", "new job-TNA", "NORTHERN REFLECTIONS- T&a",
+]
+#: Names of the modes in results.
+FORMATS = {"row": "row_per_pli", "section": "section_per_pli", "sheet": "sheet_is_pli"}
 #: Confidence by where a value was found.
 CONFIDENCE = {"kv": 0.95, "header": 0.85, "stage": 0.85, "subfield": 0.80, "metadata": 0.40}
 #: Words that header rows are checked for, by field.

@@ -76,10 +76,12 @@ def layouts(found: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def stage_columns(cells: DataFrame, merges: DataFrame, laid: DataFrame) -> DataFrame:
-    """(r, stage, primary_col, sub_label, sub_col): a row for each sub-column of a stage, one with nulls if it has none."""
+    """(r, stage, primary_col, first_col, sub_label, sub_col): a row for each sub-column of a stage, one with nulls if it has none.
+
+    A stage named twice stands in its last column and at the place of its first."""
     text = cells.where((F.col("dtype") == "str") & (F.trim("sval") != "")).select(*SHEET, F.col("r").alias("at"), "c", F.trim("sval").alias("name"))
     dates = laid.select(*SHEET, "r", "sub_header", "layout", F.explode("date_cols").alias("c"))
-    stages = dates.join(text.withColumnRenamed("at", "sub_header"), [*SHEET, "sub_header", "c"]).groupBy(*SHEET, "r", "sub_header", "layout", F.col("name").alias("stage")).agg(F.max("c").alias("primary_col"))
+    stages = dates.join(text.withColumnRenamed("at", "sub_header"), [*SHEET, "sub_header", "c"]).groupBy(*SHEET, "r", "sub_header", "layout", F.col("name").alias("stage")).agg(F.max("c").alias("primary_col"), F.min("c").alias("first_col"))
     labels = laid.where("layout = 'wide_sub_columns'").select(*SHEET, "r", (F.col("sub_header") + 1).alias("at")).join(text.where(_role(F.col("name")).isNotNull()), [*SHEET, "at"]).select(*SHEET, "r", "c", F.col("name").alias("sub_label"), F.lit(None).cast("string").alias("stage"))
     points = labels.unionByName(stages.select(*SHEET, "r", F.col("primary_col").alias("c"), F.lit(None).cast("string").alias("sub_label"), "stage"))
     run = Window.partitionBy(*SHEET, "r").orderBy("c", F.col("stage").isNull()).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,4 +92,4 @@ def stage_columns(cells: DataFrame, merges: DataFrame, laid: DataFrame) -> DataF
     starts = merges.where("r1 = r2 and c2 > c1").select(*SHEET, F.col("r1").alias("sub_header"), F.col("c1").alias("primary_col"), F.lit(True).alias("merged")).distinct()
     band = Window.partitionBy(*SHEET, "r")
     kept = joined.join(starts, [*SHEET, "sub_header", "primary_col"], "left").withColumn("any_sub", F.max(F.col("sub_col").isNotNull()).over(band))
-    return kept.where("not any_sub or sub_col is not null or merged").select(*SHEET, "r", "stage", "primary_col", "sub_label", "sub_col")
+    return kept.where("not any_sub or sub_col is not null or merged").select(*SHEET, "r", "stage", "primary_col", "first_col", "sub_label", "sub_col")

@@ -1,8 +1,8 @@
-"""Checks of plans and items: each returns findings (sheet, check, severity, message parts as columns)."""
+"""Checks of plans and items: each returns what it found, with the parts of a message as columns; `findings` makes one table of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,14 +10,14 @@ from gridlens.functions import scalars, vocab
 from gridlens.functions.address import column_of, row_of
 from gridlens.sources.grids import SHEET
 
-MIN_COVERAGE, MIN_DENSITY, MIN_FILLED, MIN_ROWS = 0.8, 0.5, 0.5, 10
+MIN_COVERAGE, MIN_DENSITY, MIN_FILLED, MIN_ROWS, GATE = 0.8, 0.5, 0.5, 10, 0.85
 
 
 def references(specs: DataFrame) -> DataFrame:
     """Children without an anchor row of their index, and anchors that point at another row."""
     anchors = specs.where("role = 'anchor'").select(*SHEET, F.col("r").alias("anchor_idx")).distinct()
-    lost = specs.where("role = 'child'").join(anchors, [*SHEET, "anchor_idx"], "left_anti").select(*SHEET, "r", F.when(F.col("anchor_idx").isNull(), "child_without_anchor").otherwise("dangling_anchor").alias("what"))
-    return lost.unionByName(specs.where("role = 'anchor' and anchor_idx is not null").select(*SHEET, "r", F.lit("anchor_with_anchor").alias("what")))
+    lost = specs.where("role = 'child'").join(anchors, [*SHEET, "anchor_idx"], "left_anti").select(*SHEET, "r", "anchor_idx", F.when(F.col("anchor_idx").isNull(), "child_without_anchor").otherwise("dangling_anchor").alias("what"))
+    return lost.unionByName(specs.where("role = 'anchor' and anchor_idx is not null").select(*SHEET, "r", "anchor_idx", F.lit("anchor_with_anchor").alias("what")))
 
 
 def repeated_rows(specs: DataFrame) -> DataFrame:
@@ -46,10 +46,10 @@ def channels(facts: DataFrame) -> DataFrame:
 
 
 def identity_coverage(specs: DataFrame, cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """Sheets where under 0.8 of the data rows have an identity or are children."""
+    """(share) of sheets where under 0.8 of the data rows have an identity or an anchor."""
     ids = cells.join(columns, SHEET).where("c = id_col").select(*SHEET, "r", F.lit(True).alias("has_id"))
-    data = specs.where("role in ('anchor', 'child', 'blank')").join(ids, [*SHEET, "r"], "left")
-    share = data.groupBy(*SHEET).agg(F.avg((F.col("has_id").isNotNull() | (F.col("role") == "child")).cast("double")).alias("share"))
+    data = specs.where("role in ('anchor', 'child')").join(columns.select(*SHEET), SHEET, "left_semi").join(ids, [*SHEET, "r"], "left")
+    share = data.groupBy(*SHEET).agg(F.avg((F.col("has_id").isNotNull() | F.col("anchor_idx").isNotNull()).cast("double")).alias("share"))
     return share.where(F.col("share") < MIN_COVERAGE)
 
 
@@ -60,16 +60,23 @@ def item_counts(sheets: DataFrame, specs: DataFrame, keyed: DataFrame) -> DataFr
 
 
 def date_density(cells: DataFrame, bands: DataFrame, columns: DataFrame) -> DataFrame:
-    """Bands with two filled places or more in their plan row, under half of them native dates."""
-    places = bands.select(*SHEET, "r", "plan_row").join(columns.select(*SHEET, "r", F.col("primary_col").alias("c")).distinct(), [*SHEET, "r"])
-    there = places.join(cells.select(*SHEET, F.col("r").alias("plan_row"), "c", "dtype"), [*SHEET, "plan_row", "c"])
-    counts = there.groupBy(*SHEET, "r").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.col("dtype") == "date").alias("dates"))
+    """(r, title, filled, dates): bands with two filled places or more under their stages in all their sub-rows, under half of them native dates."""
+    rows = bands.select(*SHEET, "r", "title", F.explode(F.array_distinct(F.map_values("sub_rows"))).alias("at"))
+    places = rows.join(columns.select(*SHEET, "r", F.col("primary_col").alias("c")).distinct(), [*SHEET, "r"])
+    there = places.join(cells.select(*SHEET, F.col("r").alias("at"), "c", "dtype"), [*SHEET, "at", "c"])
+    counts = there.groupBy(*SHEET, "r", "title").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.col("dtype") == "date").alias("dates"))
     return counts.where((F.col("filled") >= 2) & (F.col("dates") < MIN_DENSITY * F.col("filled")))
 
 
-def sequences(numbers: DataFrame, key: str, number: str) -> DataFrame:
-    """Groups whose largest number, counted from 0, is not their count of rows less one."""
-    return numbers.groupBy(key).agg(F.max(number).alias("largest"), F.count(F.lit(1)).alias("n")).where(F.col("largest") + 1 != F.col("n"))
+def running_numbers(specs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(largest, n): sheets whose running number, in the first column headed so, does not end at their count of anchors."""
+    heads = specs.where("role = 'header'").select(*SHEET, "r")
+    spelt = cells.where((F.col("dtype") == "str") & F.lower(F.trim("sval")).isin(vocab.NUMBER_LABELS)).join(heads, [*SHEET, "r"], "left_semi")
+    column = spelt.groupBy(*SHEET).agg(F.min("c").alias("c"))
+    anchors = specs.where("role = 'anchor'").select(*SHEET, "r")
+    counts = anchors.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n"))
+    numbers = cells.where(F.col("dtype").isin("int", "float", "bool")).join(column, [*SHEET, "c"], "left_semi").join(anchors, [*SHEET, "r"], "left_semi")
+    return numbers.groupBy(*SHEET).agg(F.max(F.col("nval").cast("bigint")).alias("largest")).join(counts, SHEET).where("largest <> n")
 
 
 def source_cells(items: DataFrame, cells: DataFrame, strict: bool = False) -> DataFrame:
@@ -78,16 +85,21 @@ def source_cells(items: DataFrame, cells: DataFrame, strict: bool = False) -> Da
     seen = at.join(cells.select(*SHEET, F.col("r").alias("_r"), F.col("c").alias("_c"), "sval", "dtype", "nval"), [*SHEET, "_r", "_c"], "left")
     shown = F.col("sval") if strict else scalars.coerce_text(F.col("dtype"), F.col("sval"), F.col("nval"))
     same = shown.eqNullSafe(F.col("value")) if strict else scalars.values_equal(shown, F.col("value"))
-    return seen.where(~same).select(*SHEET, "item", "field", "value", F.col("sval").alias("actual"))
+    return seen.where(~same).select(*SHEET, "item", "field", "addr", "value", F.col("sval").alias("actual"))
 
 
-def header_matches(items: DataFrame, cells: DataFrame) -> DataFrame:
-    """(sheet, column, field) without a term of the field in the first five rows of the column; the first item stands for all."""
+def header_terms(items: DataFrame, cells: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+    """(c, field, item, told): each column that a field with terms was read from, and whether its first five rows hold one; the first item stands for all."""
     at = items.withColumn("c", column_of(F.col("addr"))).groupBy(*SHEET, "c", "field").agg(F.min("item").alias("item"))
-    heads = cells.where((F.col("r") <= 5) & (F.col("dtype") == "str")).groupBy(*SHEET, "c").agg(F.array_join(F.array_sort(F.collect_list(F.lower("sval"))), " ").alias("head"))
-    terms = F.create_map(*[x for name, words in vocab.HEADER_TERMS.items() for x in (F.lit(name), F.array(*[F.lit(w) for w in words]))])
-    known = at.where(F.col("field").isin(*vocab.HEADER_TERMS)).join(heads, [*SHEET, "c"], "left")
-    return known.where(~F.exists(F.try_element_at(terms, F.col("field")), lambda t: F.contains(F.coalesce("head", F.lit("")), t))).select(*SHEET, "c", "field", "item")
+    heads = cells.where((F.col("r") <= 5) & (F.col("dtype") == "str")).groupBy(*SHEET, "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.lower("sval").alias("t")))), lambda x: x["t"]), " ").alias("head"))
+    terms = F.create_map(*[x for name, own in words.items() for x in (F.lit(name), F.array(*[F.lit(w) for w in own]))])
+    known = at.where(F.col("field").isin(*words)).join(heads, [*SHEET, "c"], "left")
+    return known.withColumn("told", F.exists(F.try_element_at(terms, F.col("field")), lambda t: F.contains(F.coalesce("head", F.lit("")), t))).drop("head")
+
+
+def header_matches(items: DataFrame, cells: DataFrame) -> DataFrame:
+    """(c, field, item) of columns without a term of their field in the first five rows."""
+    return header_terms(items, cells, vocab.HEADER_TERMS).where("not told").select(*SHEET, "c", "field", "item")
 
 
 def coverage(n_items: DataFrame, n_rows: DataFrame) -> DataFrame:
@@ -112,6 +124,11 @@ def corrected(specs: DataFrame, corrections: DataFrame) -> DataFrame:
     return specs.join(fixes, [*SHEET, "r"], "left").withColumns({"role": F.coalesce("new_role", "role"), "anchor_idx": F.coalesce("new_anchor", "anchor_idx")}).drop("new_role", "new_anchor")
 
 
+def review_gate(warned: Column, confidence: Column, mode: Column) -> Column:
+    """Whether a plan is to be reviewed: it has a warning, little confidence, or is not in row mode."""
+    return F.coalesce(warned, F.lit(False)) | (confidence < GATE) | (mode != "row")
+
+
 def warn_rate(findings: DataFrame, key: str) -> DataFrame:
     """The share of warnings and errors among a workbook's findings."""
     return findings.groupBy(key).agg(F.avg(F.col("severity").isin("warn", "error").cast("double")).alias("warn_rate"))

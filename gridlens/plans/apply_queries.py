@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlens.functions import vocab
-from gridlens.operators import apply, bands, kv, rows, survey
+from gridlens.operators import apply, bands, extract, kv, naming, rows, survey
+from gridlens.operators import plan as planning
 from gridlens.plans.read_queries import GB, GK, GO
 from gridlens.plans.registry import registry
 from gridlens.plans.survey_queries import BOUNDS, KEYS, ROLES, order_roles
@@ -115,12 +116,56 @@ def items_section(spark, sf):
 
 @query(f"""{GO}, tops as (select sheet, c, sval from cells where r = 1) select h.sheet, h.c, h.sval as raw, (select string_agg(sval, '|' order by k) from (select c.sval, row_number() over (order by c.r) as k from cells c join roles o on o.sheet = c.sheet and o.r = c.r and o.role in ('anchor', 'child') where c.sheet = h.sheet and c.c = h.c) x where k <= 3) as samples from tops h""".replace("tops as", f"{ROLES}, tops as", 1))
 def label_samples(spark, sf):
-    from pyspark.sql.window import Window
-
     cells, roles = grids.cells(spark, sf, "orders"), order_roles(spark, sf)
-    labels = apply.header_labels(cells, roles)
-    data = cells.join(roles.where("role in ('anchor', 'child')").select("workbook_id", "sheet", "r"), ["workbook_id", "sheet", "r"])
-    first = data.withColumn("k", F.row_number().over(Window.partitionBy("workbook_id", "sheet", "c").orderBy("r"))).where("k <= 3")
-    texts = F.when(F.length("sval") > 60, F.concat(F.left("sval", F.lit(57)), F.lit("..."))).otherwise(F.col("sval"))
-    sampled = first.groupBy("workbook_id", "sheet", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", texts.alias("t")))), lambda x: x["t"]), "|").alias("samples"))
-    return labels.join(sampled, ["workbook_id", "sheet", "c"], "left").select("sheet", "c", "raw", "samples")
+    found = naming.samples(cells, roles, apply.header_labels(cells, roles))
+    return found.select("sheet", "c", "raw", F.array_join("samples", "|").alias("samples"))
+
+
+def order_results(spark, sf):
+    """Items, warnings and workbooks of the whole flow over the order grid, made once."""
+    made = {}
+
+    def make(part):
+        def run():
+            if not made:
+                made["r"] = extract.extract(grids.cells(spark, sf, "orders"), grids.merges(spark, sf))
+            return getattr(made["r"], part)
+
+        return run
+
+    return {part: grids.kept(spark, sf, f"order results {part}", make(part), "orders lineitem") for part in ("items", "warnings", "books")}
+
+
+@query(f"""{GO} select 'C' || cast(cust as varchar) as sheet, r as item, cast(ord as varchar) as io_number, 'P' || cast(part as varchar) as style, color as color_code, cast(qty as bigint) as quantity, ship as delivery_date,
+ 'A' || cast(first_r as varchar) as io_cell, cast(r as varchar) as "rows", 0 as n_stages from (select *, min(r) over (partition by cust, ord, kind) as first_r from go_rows) x where kind = 1""")
+def extract_items(spark, sf):
+    items = order_results(spark, sf)["items"]
+    return items.select("sheet", "item", "io_number", F.coalesce("style_code", "style_name").alias("style"), "color_code", "quantity", "delivery_date", F.try_element_at("cells", F.lit("io_number")).alias("io_cell"), F.array_join("rows", ",").alias("rows"), F.size("stages").alias("n_stages"))
+
+
+@query(f"""{GO}, items as (select * from go_rows where kind = 1) select 'orders' as workbook_id, 'row_per_pli' as format, round(0.7 * 0.85, 4) as confidence, count(*) as n_items from items""")
+def extract_books(spark, sf):
+    """Every field is read from a header column, and the fabric is never given: all findings are warnings."""
+    return order_results(spark, sf)["books"].select("workbook_id", "format", "confidence", "n_items")
+
+
+@query(f"""{GO}, n as (select count(*) as n from go_rows where kind = 1) select 'field_dropout' as "check", 'fabric_code' as field, 'warning' as severity, chr(39) || 'fabric_code' || chr(39) || ' populated in 0/' || cast(n as varchar) || ' PLIs (ratio 0.00 < floor 0.5)' as message from n""")
+def extract_warnings(spark, sf):
+    return order_results(spark, sf)["warnings"].where("field = 'fabric_code'").select("check", "field", "severity", "message")
+
+
+@query(f"""{GO}, per as (select 'C' || cast(cust as varchar) as sheet, count(*) as n_rows from go_rows where kind = 1 group by cust) select sheet, 'row' as mode, 1 as id_col, 0.9 as confidence, n_rows, 5 as n_labels, 0 as n_keys, 0 as n_blocks, 0 as n_bands from per""")
+def plan_sheets(spark, sf):
+    return planning.summary(planning.plan_sheets(grids.cells(spark, sf, "orders"), grids.merges(spark, sf))).drop("workbook_id")
+
+
+@query(f"""{_STAGES}, data as (select distinct sheet, r from cells where c = 1 and r > 3), prim as (select d.sheet, d.r, k.stage, k.pc, any_value(k.sub_col) as sub_col, any_value(case when c.dtype = 'date' then cast(c.dval as date) end) as planned_date
+   from data d join kept k on k.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = k.pc group by d.sheet, d.r, k.r, k.stage, k.pc)
+ select p.sheet, p.r as item, lower(p.stage) as stage, p.planned_date, cast(cast(a.dval as date) as varchar) as actual_date from prim p left join cells a on a.sheet = p.sheet and a.r = p.r and a.c = p.sub_col""")
+def plan_stages(spark, sf):
+    """The stages of all items of the band grid, by its plan."""
+    cells, none, _ = _bands(spark, sf)
+    plan = planning.plan_sheets(cells, none)
+    items = apply.apply_plan(cells, none, plan, naming.stage_names(plan.columns).unionByName(naming.subfield_names(plan.columns)))
+    each = items.select("sheet", "item", F.explode("stages").alias("s"))
+    return each.select("sheet", "item", F.col("s.name").alias("stage"), F.col("s.planned_date").alias("planned_date"), F.try_element_at("s.metadata", F.lit("actual_date")).alias("actual_date"))

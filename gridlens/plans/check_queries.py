@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlens.functions import scalars, vocab
-from gridlens.operators import check, kv, survey
+from gridlens.operators import check, findings, survey
+from gridlens.operators import plan as planning
 from gridlens.operators.read import sheets
-from gridlens.plans.apply_queries import _STAGES, _bands, _stage_columns, order_items
-from gridlens.plans.read_queries import GK, GO, GS
+from gridlens.plans.apply_queries import _STAGES, _bands, order_items
+from gridlens.plans.read_queries import GO
 from gridlens.plans.registry import registry
-from gridlens.plans.survey_queries import KEYS, ROLES, order_roles
+from gridlens.plans.survey_queries import ROLES, order_roles
 from gridlens.session import table
 from gridlens.sources import grids
 
@@ -57,29 +58,61 @@ def chk_channel(spark, sf):
     return check.channels(facts).select("c_custkey", "several", "wrong")
 
 
-@query(f"""{GO}, {ROLES}, data as (select o.sheet, o.role, exists (select 1 from cells c where c.sheet = o.sheet and c.r = o.r and c.c = 1) as has_id from roles o where o.role in ('anchor', 'child', 'blank')) select sheet, avg(case when has_id or role = 'child' then 1.0 else 0.0 end) as share from data where hash_keep group by sheet having avg(case when has_id or role = 'child' then 1.0 else 0.0 end) < 0.8""".replace(" where hash_keep", ""))
+@query(f"""{GO}, {ROLES}, ids as (select sheet, r from cells where c = 1 and r % 7 = 1), data as (select o.sheet, o.anchor_idx is not null or i.r is not null as good from roles o left join ids i on i.sheet = o.sheet and i.r = o.r where o.role in ('anchor', 'child'))
+ select sheet, avg(case when good then 1.0 else 0.0 end) as share from data group by sheet having avg(case when good then 1.0 else 0.0 end) < 0.8""")
 def chk_identity(spark, sf):
+    """Six of seven identity cells are taken away."""
     cells = grids.cells(spark, sf, "orders")
-    return check.identity_coverage(order_roles(spark, sf), cells, survey.identity_columns(cells)).select("sheet", "share")
+    return check.identity_coverage(order_roles(spark, sf), cells.where("c <> 1 or r % 7 = 1"), survey.identity_columns(cells)).select("sheet", "share")
 
 
-@query(f"{GS}, {KEYS} select sheet, max(r) as max_row from cells c where not exists (select 1 from keys k where k.sheet = c.sheet) group by sheet having max(r) >= 10")
+@query(f"{GO} select sheet, max(r) as max_row from cells where sheet like '%3' group by sheet having max(r) >= 10")
 def chk_count(spark, sf):
-    cells = grids.cells(spark, sf, "blocks")
-    none = order_roles(spark, sf).where("false")
-    return check.item_counts(sheets(cells), none, survey.key_hits(cells)).select("sheet", "max_row")
+    """Sheets whose name ends in 3 lose their roles."""
+    cells, roles = grids.cells(spark, sf, "orders"), order_roles(spark, sf)
+    return check.item_counts(sheets(cells), roles.where("sheet not like '%3'"), survey.key_hits(cells).where("false")).select("sheet", "max_row")
 
 
-@query(f"""{_STAGES}, places as (select distinct sheet, r, pc from kept) select p.sheet, p.r, count(*) as filled, count(*) filter (c.dtype = 'date') as dates from places p join cells c on c.sheet = p.sheet and c.r = p.r and c.c = p.pc
- group by p.sheet, p.r having count(*) >= 2 and count(*) filter (c.dtype = 'date') < 0.5 * count(*)""")
+@query(f"""{_STAGES}, places as (select distinct sheet, r, pc from kept), seen as (select sheet, r, c, case when c % 4 = 3 or cast(substr(sheet, 2) as bigint) % 2 = 0 then 'str' else dtype end as dtype from cells)
+ select p.sheet, p.r, count(*) as filled, count(*) filter (c.dtype = 'date') as dates from places p join seen c on c.sheet = p.sheet and c.r = p.r and c.c = p.pc group by p.sheet, p.r having count(*) >= 2 and count(*) filter (c.dtype = 'date') < 0.5 * count(*)""")
 def chk_density(spark, sf):
-    cells, _, laid = _bands(spark, sf)
-    return check.date_density(cells, laid, _stage_columns(spark, sf)).select("sheet", "r", "filled", "dates")
+    """Dates turn to texts in two of three stages, and in all of every second sheet."""
+    cells, none, _ = _bands(spark, sf)
+    found, columns = planning.band_plan(cells, none)
+    texts = cells.withColumn("dtype", F.when((F.col("c") % 4 == 3) | (F.substring("sheet", 2, 20).cast("bigint") % 2 == 0), "str").otherwise(F.col("dtype")))
+    return check.date_density(texts, found, columns).select("sheet", "r", "filled", "dates")
 
 
-@query("select conv_id, max(turn) as largest, count(*) as n from conversations group by conv_id having max(turn) + 1 <> count(*)")
+@query(f"""{GO}, {ROLES}, n as (select sheet, cast(substr(sheet, 2) as bigint) as cust, count(*) as n from roles where role = 'anchor' group by sheet) select sheet, n + 1 as largest, n from n where cust % 4 = 0""")
 def chk_sequence(spark, sf):
-    return check.sequences(table(spark, sf, "conversations"), "conv_id", "turn")
+    """A column of running numbers is put beside the order grid; in every fourth sheet it starts at 2."""
+    roles = order_roles(spark, sf)
+    number = F.col("group_id") + F.when(F.substring("sheet", 2, 20).cast("bigint") % 4 == 0, 2).otherwise(1)
+    kept = ["workbook_id", "sheet", "r", F.lit(9).alias("c")]
+    numbers = roles.where("role = 'anchor'").select(*kept, F.lit("int").alias("dtype"), number.cast("string").alias("sval"), number.cast("double").alias("nval"))
+    heads = roles.where("role = 'header'").select(*kept, F.lit("str").alias("dtype"), F.lit(" S.No ").alias("sval"), F.lit(None).cast("double").alias("nval"))
+    return check.running_numbers(roles, numbers.unionByName(heads)).select("sheet", "largest", "n")
+
+
+_PLAIN = "select sheet, 'reference_integrity' as \"check\", 'error' as severity"
+
+
+@query(f"""{GO}, {ROLES}{_FAULTY}, anchors as (select distinct sheet, r from specs where role = 'anchor'), heads as (select sheet, min(r) as low, max(r) as high, count(*) as n from specs where role = 'header' group by sheet)
+ {_PLAIN}, 'CHILD row ' || cast(r as varchar) || ' has no anchor_idx' as message from specs where role = 'child' and anchor_idx is null
+ union all {_PLAIN}, 'CHILD row ' || cast(r as varchar) || ' anchor_idx=' || cast(anchor_idx as varchar) || ' not in ANCHOR rows' from specs s where role = 'child' and anchor_idx is not null and not exists (select 1 from anchors a where a.sheet = s.sheet and a.r = s.anchor_idx)
+ union all {_PLAIN}, 'ANCHOR row ' || cast(r as varchar) || ' has non-null anchor_idx=' || cast(anchor_idx as varchar) from specs where role = 'anchor' and anchor_idx is not null
+ union all select sheet, 'row_uniqueness', 'error', 'row idx ' || cast(r as varchar) || ' appears more than once' from (select sheet, r, row_number() over (partition by sheet, r order by role) as k from specs) x where k > 1
+ union all select sheet, 'header_contiguity', 'warn', 'header rows are not contiguous' from heads where high - low + 1 <> n
+ union all select s.sheet, 'header_contiguity', 'warn', 'data row ' || cast(min(s.r) as varchar) || ' precedes max header row ' || cast(any_value(h.high) as varchar) from specs s join heads h on h.sheet = s.sheet and s.r < h.high where s.role in ('anchor', 'child') group by s.sheet
+ union all select distinct sheet, 'exactly_one_identity_channel', 'error', 'multiple identity channels populated: header_labels, kv_anchors' from specs where sheet like '%5'""")
+def plan_findings(spark, sf):
+    """All invariants at once, on rows with faults; sheets whose name ends in 5 have a key beside their labels."""
+    cells, rows = grids.cells(spark, sf, "orders"), _faulty(spark, sf).withColumns({"group_id": F.lit(None).cast("int"), "sub_row_role": F.lit(None).cast("string")})
+    one = order_roles(spark, sf).select("workbook_id", "sheet").distinct()
+    about = one.select("*", F.lit("row").alias("mode"))
+    blocks = one.where("false").select("*", *[F.lit(0).alias(c) for c in ("block_id", "start", "end")])
+    plan = planning.Plan(about, rows, one, one.where("sheet like '%5'"), cells, cells, blocks, blocks)
+    return findings.plan_invariants(plan).select("sheet", "check", "severity", "message")
 
 
 def _fields(spark, sf):
@@ -142,7 +175,8 @@ def severity_map(spark, sf):
 @query(f"{_FINDINGS}, g as (select book, bool_or(severity = 'warn') as warned, avg(confidence) as c from f group by book) select book, warned or c < 0.85 or book % 3 <> 0 as review from g")
 def review_gate(spark, sf):
     per = _findings(spark, sf).groupBy("book").agg(F.max(F.col("severity") == "warn").alias("warned"), F.avg("confidence").alias("c"))
-    return per.select("book", (F.col("warned") | (F.col("c") < 0.85) | (F.col("book") % 3 != 0)).alias("review"))
+    mode = F.when(F.col("book") % 3 == 0, "row").otherwise("sheet")
+    return per.select("book", check.review_gate(F.col("warned"), F.col("c"), mode).alias("review"))
 
 
 @query(f"""{GO}, {ROLES} select sheet, r, case when r % 14 = 0 then 'blank' when r % 7 = 0 then 'title' else role end as role, case when r % 7 = 0 then 1 else anchor_idx end as anchor_idx from roles""")

@@ -44,4 +44,20 @@ def session_windows(spark, sf):
 
 @query("""select event_type, count(*) as n, round(avg("value"), 6) as mean, round(max("value"), 6) as largest from events group by event_type""")
 def phase_durations(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("largest"))
+    return windows.durations(table(spark, sf, "events"), "event_type")
+
+
+@query("""select strftime(to_timestamp(e // 3600 * 3600) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as w_start, event_type, count(*) as n, quantile_disc("value", 0.5) as p50, quantile_disc("value", 0.9) as p90, quantile_disc("value", 0.99) as p99
+ from (select *, cast(floor(epoch(ts)) as bigint) as e from events) x group by e // 3600, event_type""")
+def hourly_percentiles(spark, sf):
+    return _shown(windows.spread(table(spark, sf, "events"), "1 hour", ["event_type"])).drop("w_end")
+
+
+@query("""select event_type, case when "value" <= 1 then 0 when "value" <= 5 then 1 when "value" <= 25 then 2 else 3 end as bucket, count(*) as n, round(sum("value"), 4) as total from events group by 1, 2""")
+def value_histogram(spark, sf):
+    return windows.histogram(table(spark, sf, "events"), [1.0, 5.0, 25.0], ["event_type"])
+
+
+@query("""select user_id, cast(sum(case event_type when 'click' then 1 when 'purchase' then -1 else 0 end) as bigint) as "level" from events group by user_id""")
+def user_levels(spark, sf):
+    return windows.levels(table(spark, sf, "events"), "click", "purchase", ["user_id"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 STAGE = "struct<name:string,planned_date:date,quantity:bigint,section:string,metadata:map<string,string>,confidence:double>"
 ITEM = f"struct<io_number:string,style_code:string,style_name:string,color_code:string,color_name:string,fabric_code:string,delivery_date:date,quantity:bigint,stages:array<{STAGE}>,confidence:map<string,double>,metadata:map<string,string>,source:struct<sheet:string,rows:array<int>,cells:map<string,string>>>"
-SCHEMA = f"plis array<{ITEM}>, warnings array<string>, format string, confidence double, source_file string"
+SCHEMA = f"plis array<{ITEM}>, warnings array<string>, format string, confidence double, source_file string, error string"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +25,13 @@ def items(files: DataFrame) -> DataFrame:
     return each.withColumns(texts).withColumn("confidence", F.map_filter("confidence", lambda _, v: v.isNotNull()))
 
 
+def parsed_warnings(files: DataFrame) -> DataFrame:
+    """(stem, message, severity): warnings given as plain texts, or as JSON objects with a message."""
+    one = F.from_json("w", "message string, severity string")
+    each = files.select("stem", F.explode("warnings").alias("w"))
+    return each.select("stem", F.coalesce(one["message"], "w").alias("message"), F.coalesce(one["severity"], F.lit("warning")).alias("severity"))
+
+
 def save(results: DataFrame, path: str) -> None:
     """Stored outputs, one folder a stem, so that `stored` reads them again without extracting."""
     results.write.partitionBy("stem").mode("overwrite").json(path)

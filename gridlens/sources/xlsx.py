@@ -2,7 +2,7 @@
 
 Each workbook is read whole by one task, with the standard library alone: the zip's parts as XML, shared and inline
 strings, cached values of formulas, number formats that show dates (both epochs), merged regions and sheet order. Rows
-are the cells; `kind` tells cells from merges. A broken workbook gives one row of kind `error` and stops no other.
+are the cells; `kind` tells cells from merges and from the extents of sheets, which count empty cells that the file holds. A broken workbook gives one row of kind `error` and stops no other.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "workbook_id string, sheet string, sheet_ord int, kind string, r int, c int, r2 int, c2 int, dtype string, sval string, nval double, dval timestamp"
@@ -59,13 +59,14 @@ def read_workbook(name: str, content: bytes) -> Iterator[tuple]:
             target = targets[sheet.get(_REL)]
             part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             head = (name, sheet.get("name"), order)
-            at_row = 0
+            at_row, low, right = 0, 1, 1
             for _, node in ET.iterparse(io.BytesIO(book.read(part))):
                 if node.tag == f"{_MAIN}row":
                     at_row = int(node.get("r", at_row + 1))
                     at_column = 0
                     for cell in node.iter(f"{_MAIN}c"):
                         row, at_column = _place(cell.get("r")) if cell.get("r") else (at_row, at_column + 1)
+                        low, right = max(low, row), max(right, at_column)
                         value = _value(cell, shared, dates, epoch)
                         if value:
                             yield (*head, "cell", row, at_column, None, None, *value)
@@ -73,7 +74,9 @@ def read_workbook(name: str, content: bytes) -> Iterator[tuple]:
                 elif node.tag == f"{_MAIN}mergeCell":
                     first, _, last = node.get("ref").partition(":")
                     (r1, c1), (r2, c2) = _place(first), _place(last or first)
+                    low, right = max(low, r2), max(right, c2)
                     yield (*head, "merge", r1, c1, r2, c2, None, None, None, None)
+            yield (*head, "sheet", low, right, None, None, None, None, float(len(content)), None)
 
 
 def _value(cell: ET.Element, shared: list[str], dates: list[bool], epoch: datetime) -> tuple | None:
@@ -105,8 +108,8 @@ def _value(cell: ET.Element, shared: list[str], dates: list[bool], epoch: dateti
     return "float", repr(number), number, None
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of all workbooks under a path that Spark can list; a workbook is one row of `binaryFile`, read where it lies."""
+def parse(files: DataFrame) -> DataFrame:
+    """All rows of workbooks (path, content); each is read where it lies, by one task."""
     import pandas as pd
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +126,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
                 frame["dval"] = pd.to_datetime(frame["dval"])
                 yield frame
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("path", "content")
-    return files.mapInPandas(rows, SCHEMA)
+    return files.select("path", "content").mapInPandas(rows, SCHEMA)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of all workbooks under a path that Spark can list."""
+    return parse(spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path))
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -134,3 +141,25 @@ def cells(rows: DataFrame) -> DataFrame:
 
 def merges(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'merge'").select("workbook_id", "sheet", F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("r2"), F.col("c2"))
+
+
+def extents(rows: DataFrame) -> DataFrame:
+    """(sheet_ord, max_row, max_col) of each sheet."""
+    return rows.where("kind = 'sheet'").select("workbook_id", "sheet", "sheet_ord", F.col("r").alias("max_row"), F.col("c").alias("max_col"))
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """(workbook_id, error) of workbooks that could not be read."""
+    return rows.where("kind = 'error'").select("workbook_id", F.col("sval").alias("error"))
+
+
+def summaries(rows: DataFrame) -> DataFrame:
+    """(sheet_count, sheets, size_kb): the sheets of each workbook in order, and its size in whole kilobytes."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("sheet_ord", "sheet"))), lambda x: x["sheet"])
+    return rows.where("kind = 'sheet'").groupBy("workbook_id").agg(F.count(F.lit(1)).alias("sheet_count"), listed.alias("sheets"), F.floor(F.max("nval") / 1024).cast("long").alias("size_kb"))
+
+
+def stem(workbook_id: Column) -> Column:
+    """The name of a workbook's file without its ending."""
+    name = F.url_decode(F.replace(F.element_at(F.split(workbook_id, "/"), -1), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)

@@ -5,9 +5,11 @@ On a stream a watermark bounds the state: rows later than it are dropped, and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlens.session import stored
+
 
 def marked(events: DataFrame, late: str = "10 minutes", time: str = "ts") -> DataFrame:
     """A timestamp with a watermark on streams; stored tables have no late rows."""
@@ -42,3 +44,47 @@ def first_of_each(files: DataFrame, late: str = "1 hour") -> DataFrame:
 def each_batch(stream: DataFrame, sink, checkpoint: str):
     """Starts a query that hands every micro-batch of what has arrived to `sink(batch, id)` and ends; files are taken once by the checkpoint."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def extract_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str):
+    """Starts a query that extracts all workbooks that have arrived under a path, each once, and adds their outputs to `out`."""
+    from gridlens.operators import extract
+    from gridlens.sources import xlsx
+
+    def work(batch: DataFrame, _: int) -> None:
+        rows = stored(xlsx.parse(batch))
+        results = extract.extract(xlsx.cells(rows), xlsx.merges(rows), xlsx.extents(rows), xlsx.errors(rows))
+        outputs = extract.envelopes(results).withColumn("stem", xlsx.stem(F.col("workbook_id"))).drop("workbook_id")
+        outputs.write.partitionBy("stem").mode("append").json(out)
+
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
+    return each_batch(stream, work, checkpoint)
+
+
+def spread(events: DataFrame, size: str, keys: list[str], value: str = "value", shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Percentiles of each window and key, exact to one in ten thousand rows."""
+    found = F.percentile_approx(value, [float(s) for s in shares], 10_000)
+    grouped = marked(events).groupBy(F.window("ts", size).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), found.alias("p"))
+    return grouped.select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), *keys, "n", *[F.get("p", F.lit(k)).alias(f"p{round(100 * s)}") for k, s in enumerate(shares)])
+
+
+def histogram(events: DataFrame, bounds: list[float], keys: list[str], value: str = "value") -> DataFrame:
+    """(bucket, n, total): how many values of each key are at most each bound and over the one before; the last bucket has no bound."""
+    bucket = F.lit(len(bounds))
+    for k in range(len(bounds) - 1, -1, -1):
+        bucket = F.when(F.col(value) <= bounds[k], k).otherwise(bucket)
+    return events.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"))
+
+
+def levels(events: DataFrame, up: str, down: str, keys: list[str], kind: str = "event_type") -> DataFrame:
+    """(level): the events of kind `up` less those of kind `down`, for each key."""
+    change = F.when(F.col(kind) == up, 1).when(F.col(kind) == down, -1).otherwise(0)
+    return events.groupBy(*keys).agg(F.sum(change).alias("level"))
+
+
+def durations(events: DataFrame, phase: str, value: str = "value") -> DataFrame:
+    """Count, mean and largest duration of each phase."""
+    return events.groupBy(phase).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("largest"))
