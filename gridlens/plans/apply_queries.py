@@ -159,9 +159,9 @@ def plan_sheets(spark, sf):
     return planning.summary(planning.plan_sheets(grids.cells(spark, sf, "orders"), grids.merges(spark, sf))).drop("workbook_id")
 
 
-@query(f"""{_STAGES}, data as (select distinct sheet, r from cells where c = 1 and r > 3), prim as (select d.sheet, d.r, k.stage, k.pc, any_value(k.sub_col) as sub_col, any_value(case when c.dtype = 'date' then cast(c.dval as date) end) as planned_date
+@query(f"""{_STAGES}, data as (select distinct sheet, r from cells where c = 1 and r > 3), prim as (select d.sheet, d.r, k.stage, k.pc, max(case when k.sub_label = 'Actual' then k.sub_col end) as sub_col, any_value(case when c.dtype = 'date' then cast(c.dval as date) end) as planned_date
    from data d join kept k on k.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = k.pc group by d.sheet, d.r, k.r, k.stage, k.pc)
- select p.sheet, p.r as item, lower(p.stage) as stage, p.planned_date, cast(cast(a.dval as date) as varchar) as actual_date from prim p left join cells a on a.sheet = p.sheet and a.r = p.r and a.c = p.sub_col""")
+ select p.sheet, p.r as item, case when p.stage in ('Plan', 'Actual') then p.stage else lower(p.stage) end as stage, p.planned_date, cast(cast(a.dval as date) as varchar) as actual_date from prim p left join cells a on a.sheet = p.sheet and a.r = p.r and a.c = p.sub_col""")
 def plan_stages(spark, sf):
     """The stages of all items of the band grid, by its plan."""
     cells, none, _ = _bands(spark, sf)
