@@ -62,9 +62,9 @@ def band_plan(cells: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame
 def plan_sheets(cells: DataFrame, merges: DataFrame, extents: DataFrame | None = None) -> Plan:
     """Survey, mode, identity column, bands, keys, rows, blocks, title rows and labels of every sheet."""
     extents = extents_of(cells) if extents is None else extents
-    modes = survey.modes(cells, extents).select(*SHEET, "mode")
+    modes = stored(survey.modes(cells, extents).select(*SHEET, "mode"))
     of_mode = lambda df, *wanted: df.join(modes.where(F.col("mode").isin(*wanted)).select(*SHEET), SHEET, "left_semi")
-    keys = kv.key_values(cells)
+    keys = stored(kv.key_values(cells))
     roles = stored(of_mode(rows.row_roles(cells, merges, extents), "row", "section"))
     found, columns = (stored(x) for x in band_plan(cells, merges))
     anchors = of_mode(roles.where("role = 'anchor'"), "section")
@@ -73,7 +73,7 @@ def plan_sheets(cells: DataFrame, merges: DataFrame, extents: DataFrame | None =
     placed = of_mode(found, "row", "sheet").withColumn("block_id", F.lit(None).cast("int")).unionByName(inside)
     taken = claimed_columns(of_mode(columns, "row"))
     own = of_mode(roles, "row")
-    extra = apply.title_rows(cells, own, taken)
+    extra = stored(apply.title_rows(cells, own, taken))
     fixed = apply.with_title_rows(roles, extra).withColumn("sub_row_role", F.lit(None).cast("string"))
     under_title = own.join(extra.select(*SHEET, "extra_row"), SHEET, "left").withColumn("role", F.when(F.col("extra_row").isNull(), F.col("role")).when(F.col("r") == F.col("extra_row"), "header").otherwise("blank"))
     many = keys.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n_keys"))

@@ -165,7 +165,7 @@ def plan_sheets(spark, sf):
 def plan_stages(spark, sf):
     """The stages of all items of the band grid, by its plan."""
     cells, none, _ = _bands(spark, sf)
-    plan = planning.plan_sheets(cells, none)
+    plan = planning.plan_sheets(cells, none).stored()
     items = apply.apply_plan(cells, none, plan, naming.stage_names(plan.columns).unionByName(naming.subfield_names(plan.columns)))
     each = items.select("sheet", "item", F.explode("stages").alias("s"))
     return each.select("sheet", "item", F.col("s.name").alias("stage"), F.col("s.planned_date").alias("planned_date"), F.try_element_at("s.metadata", F.lit("actual_date")).alias("actual_date"))
