@@ -181,23 +181,22 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str, cached: int = CACHED_PIECES):
         self.vocabulary, self.pattern, self.cached = Vocabulary.read(path), regex.compile(pattern), cached
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.decimal: list[str] = []
+        #: The ids of each piece as bytes, and in decimal.
+        self.known: dict[str, bytes] = {}
+        self.decimal: dict[str, str] = {}
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """(ids, decimal ids joined by spaces) of each text."""
         if len(self.known) > self.cached:
-            self.known, self.ids, self.decimal = {}, [], []
+            self.known, self.decimal = {}, {}
         pieces = [self.pattern.findall(t) if t else [] for t in texts]
-        new = list({p for found in pieces for p in found} - self.known.keys())
+        new = list(set().union(*pieces) - self.known.keys())
         for piece, ids in zip(new, self.vocabulary.encode_pieces([p.encode() for p in new]), strict=True):
-            self.known[piece] = len(self.ids)
-            self.ids.append(ids)
-            self.decimal.append(" ".join(map(str, ids.tolist())))
+            self.known[piece] = ids.astype("<i4").tobytes()
+            self.decimal[piece] = " ".join(map(str, ids.tolist()))
+        raw, decimal = self.known.__getitem__, self.decimal.__getitem__
         for found in pieces:
-            rows = [self.known[p] for p in found]
-            yield (np.concatenate([self.ids[r] for r in rows]) if rows else np.empty(0, np.int32)), " ".join([self.decimal[r] for r in rows])
+            yield np.frombuffer(b"".join(map(raw, found)), "<i4"), " ".join(map(decimal, found))
 
 
 @lru_cache(maxsize=2)
