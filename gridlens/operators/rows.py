@@ -34,7 +34,8 @@ def row_facts(cells: DataFrame, merges: DataFrame, extents: DataFrame | None = N
     anchor = cells.select(*SHEET, F.col("r").alias("r1"), F.col("c").alias("c1"), F.lit(True).alias("top"))
     over = (
         merges.join(columns.select(*SHEET, "id_col"), SHEET).where("c1 <= id_col and id_col <= c2").join(anchor, [*SHEET, "r1", "c1"], "left")
-        .select(*SHEET, F.explode(F.sequence("r1", "r2")).alias("r"), none("struct<dtype:string,term:boolean>").alias("id"), none("double").alias("qty"), F.struct("r1", F.coalesce("top", F.lit(False)).alias("filled")).alias("region"), F.lit(True).alias("known"))
+        .join(extents.select(*SHEET, "max_row"), SHEET).where("r1 <= max_row")
+        .select(*SHEET, F.explode(F.sequence(F.col("r1"), F.least("r2", "max_row"))).alias("r"), none("struct<dtype:string,term:boolean>").alias("id"), none("double").alias("qty"), F.struct("r1", F.coalesce("top", F.lit(False)).alias("filled")).alias("region"), F.lit(True).alias("known"))
     )
     every = extents.where("max_row > 0").select(*SHEET, F.explode(F.sequence(F.lit(1), F.col("max_row"))).alias("r"), none("struct<dtype:string,term:boolean>").alias("id"), none("double").alias("qty"), none("struct<r1:int,filled:boolean>").alias("region"), none("boolean").alias("known"))
     rows = own.withColumn("occupied", F.lit(True)).unionByName(over.withColumn("occupied", F.lit(False))).unionByName(every.withColumn("occupied", F.lit(False)))
