@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridlens.llm import bpe, caps, html, jaccard, licenses, linededup, packing, pii, quality, shards
+from gridlens.llm import bpe, caps, decontam, html, jaccard, lexical, licenses, linededup, packing, pii, quality, shards, trie
 
 SHARDS = 24
 
@@ -67,10 +67,25 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in ten words of a benchmark item."""
+    return decontam.digests(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of all conversations, rebuilt on shared beginnings, as nodes of a trie."""
+    return trie.build_rebuilt(_read(spark, sf_dir, "conversations"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return lexical.rank_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op6_html, op7_caps, op8_pii, op9_jaccard, op10_linededup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_licenses, op4_packing, op5_quality, op6_html, op7_caps, op8_pii, op9_jaccard, op10_linededup, op11_decontamination, op12_trie, op13_search)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op10_linededup": linededup.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op10_linededup": linededup.ORACLE_SQL, "op11_decontamination": decontam.ORACLE_SQL, "op12_trie": trie.ORACLE_SQL, "op13_search": lexical.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}

@@ -13,14 +13,15 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     names = list(catalog.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
     assert set(names) <= set(__spark_entry__.queries()) and set(catalog.oracle_sql()) <= set(names)
 
 
 @pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query_and_its_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     result = con.execute(catalog.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     plain = lambda v: "~" if v is None or isinstance(v, float) and math.isnan(v) else str(v)
@@ -39,6 +40,9 @@ COLUMNS = {
     "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op9_jaccard": "doc_id n_shingles component_id",
     "op10_linededup": "doc_id text n_lines n_removed",
+    "op11_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op12_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op13_search": "item_id rank doc_id score",
 }
 
 
