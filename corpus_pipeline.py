@@ -44,11 +44,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; of rows equal in doc_id and text, one."""
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    firsts = jaccard.near_duplicates(docs.select("doc_id", "text")).where(own).select(F.col("doc_id").alias("_first")).distinct()
-    kept = _slim(docs).join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return _rows(kept.withColumn("_digest", F.struct(F.length("text"), F.md5("text"))).dropDuplicates(["doc_id", "_digest"]), docs)
+    """One row of each group of near-duplicates: the one with the smallest doc_id, nulls last.
+
+    Groups are of rows, not of ids: rows are numbered first, so those without a doc_id, or that share one, are told apart.
+    """
+    numbered = stored(_slim(docs).withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    firsts = numbered.select("doc_id", "_row").join(groups, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return _rows(numbered.join(firsts, "_row", "left_semi"), docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
