@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlens.functions import scalars, vocab
 from gridlens.functions.address import address
 from gridlens.operators import naming
-from gridlens.operators.read import covered
+from gridlens.operators.read import look
 from gridlens.session import stored
 from gridlens.sources.grids import SHEET
 
@@ -112,7 +112,7 @@ def item_rows(roles: DataFrame) -> DataFrame:
 
 def row_values(cells: DataFrame, merges: DataFrame, data: DataFrame, labels: DataFrame) -> DataFrame:
     """The values of data rows (r) under labels (c, canonical), looked up through merged regions."""
-    seen = covered(cells, merges).join(labels, [*SHEET, "c"]).join(data.select(*SHEET, "r"), [*SHEET, "r"], "left_semi")
+    seen = look(cells, merges, data.select(*SHEET, "r").join(labels, SHEET), labels.select(*SHEET, "c"))
     return seen.withColumns({"source": F.lit("header"), "ord": F.struct(F.lit(0).alias("k"), F.lit(0).alias("label_row"), F.col("c"))})
 
 
@@ -138,11 +138,10 @@ def items_by_keys(cells: DataFrame, keyed: DataFrame, names: DataFrame, key: lis
 
 def stages_wide(cells: DataFrame, merges: DataFrame, data: DataFrame, columns: DataFrame) -> DataFrame:
     """(r, stage, planned_date, metadata) for each data row and stage with a value in its primary column."""
-    seen = covered(cells, merges)
-    heads = columns.select(*SHEET, "stage", "primary_col").distinct()
-    primary = data.select(*SHEET, "r").join(heads, SHEET).join(seen.select(*SHEET, "r", F.col("c").alias("primary_col"), F.col("dtype").alias("kind"), F.to_date("dval").alias("day"), F.col("addr")), [*SHEET, "r", "primary_col"])
+    heads = columns.select(*SHEET, "stage", F.col("primary_col").alias("c")).distinct()
+    primary = look(cells, merges, data.select(*SHEET, "r").join(heads, SHEET), heads).withColumns({"kind": F.col("dtype"), "day": F.to_date("dval")})
     subs = columns.where("sub_col is not null").select(*SHEET, "stage", "sub_label", F.col("sub_col").alias("c"))
-    more = data.select(*SHEET, "r").join(subs, SHEET).join(seen.select(*SHEET, "r", "c", "sval", "dtype", F.to_date("dval").alias("day")), [*SHEET, "r", "c"])
+    more = look(cells, merges, data.select(*SHEET, "r").join(subs, SHEET), subs).withColumn("day", F.to_date("dval"))
     shown = F.when(F.col("dtype") == "date", F.col("day").cast("string")).otherwise(F.col("sval"))
     meta = more.groupBy(*SHEET, "r", "stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lower("sub_label"), shown)))).alias("metadata"))
     return primary.select(*SHEET, "r", "stage", F.when(F.col("kind") == "date", F.col("day")).alias("planned_date"), "addr").join(meta, [*SHEET, "r", "stage"], "left")
@@ -158,16 +157,17 @@ def stage_list(cells: DataFrame, merges: DataFrame, places: DataFrame, bands: Da
     item's row if the band is wide, of the band's plan row if it is tall. Sub-columns of a wide band fill the stage's
     fields or its metadata, sub-rows of a tall one its metadata. A stage or sub-column named ignore is not in `columns`.
     """
-    seen = stored(covered(cells, merges).select(*SHEET, F.col("r").alias("at"), "c", "dtype", "sval", "nval", "dval", "addr"))
     heads = columns.select(*SHEET, F.col("r").alias("band"), F.col("stage").alias("raw_stage"), F.col("stage_name").alias("name"), F.col("primary_col").alias("c"), "first_col", "name_confidence").distinct()
     asked = places.join(bands.select(*SHEET, F.col("r").alias("band"), "title", "layout", "plan_row", "sub_rows"), [*SHEET, "band"]).join(heads, [*SHEET, "band"])
     wide = F.col("layout") == "wide_sub_columns"
-    primary = asked.withColumn("at", F.when(wide, F.col("r")).otherwise(F.col("plan_row"))).join(seen, [*SHEET, "at", "c"])
+    primary = look(cells, merges, asked.withColumnRenamed("r", "own_row").withColumn("r", F.when(wide, F.col("own_row")).otherwise(F.col("plan_row"))), heads.select(*SHEET, "c"))
+    primary = stored(primary.drop("r").withColumnRenamed("own_row", "r"))
     stage = [*SHEET, "item", "band", "raw_stage"]
     found = primary.select(*stage, "name", "r", "title", "layout", "sub_rows", "c", "first_col", "name_confidence", F.when(F.col("dtype") == "date", F.to_date("dval")).alias("planned_date"), F.col("addr").alias("plan_addr"))
     subs = columns.where("sub_col is not null").select(*SHEET, F.col("r").alias("band"), F.col("stage").alias("raw_stage"), F.col("sub_name").alias("sub"), F.col("sub_col").alias("c"))
-    beside = found.where("layout = 'wide_sub_columns'").select(*stage, F.col("r").alias("at")).join(subs, [*SHEET, "band", "raw_stage"]).join(seen, [*SHEET, "at", "c"])
-    under = found.where("layout <> 'wide_sub_columns'").select(*stage, "c", F.explode("sub_rows").alias("sub", "at")).where("sub <> 'plan'").join(seen.where(F.col("addr") == address(F.col("at"), F.col("c"))), [*SHEET, "at", "c"])
+    beside = look(cells, merges, found.where("layout = 'wide_sub_columns'").select(*stage, "r").join(subs, [*SHEET, "band", "raw_stage"]), subs.select(*SHEET, "c"))
+    own = cells.withColumn("addr", address(F.col("r"), F.col("c")))
+    under = found.where("layout <> 'wide_sub_columns'").select(*stage, "c", F.explode("sub_rows").alias("sub", "r")).where("sub <> 'plan'").join(own, [*SHEET, "r", "c"])
     shown = F.when(F.col("dtype") == "date", F.to_date("dval").cast("string")).otherwise(F.col("sval"))
     more = beside.select(*stage, "sub", "c", "dtype", "nval", shown.alias("text"), "sval", "addr").unionByName(under.select(*stage, "sub", "c", "dtype", "nval", F.col("sval").alias("text"), "sval", "addr"))
     amount = F.when(F.col("sub") == "quantity", scalars.coerce_int(F.col("dtype"), F.col("sval"), F.col("nval")))

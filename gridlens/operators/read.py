@@ -91,15 +91,36 @@ def find_value(cells: DataFrame, needle: str, max_hits: int = 10, ignore_case: b
     return hits.withColumn("hit", F.row_number().over(Window.partitionBy(*SHEET).orderBy("r", "c"))).where(F.col("hit") <= max_hits)
 
 
-def covered(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Every cell with the region it lies in looked through: (r, c, sval, dtype, nval, dval, addr) of what a reader sees there.
+VALUE = ["dtype", "sval", "nval", "dval"]
 
-    Regions are exploded to the cells they cover, so the lookup is an equi-join; a cell's own value wins.
+
+def region_starts(cells: DataFrame, merges: DataFrame, columns: DataFrame) -> DataFrame:
+    """(r, c, _region): where the regions that have a value begin in the asked columns (c), with their last row and anchor.
+
+    A region is cut to the columns up to the last that its sheet asks for, so it makes a row for each of these at most,
+    whatever number of rows and columns it spans.
+    """
+    last = columns.groupBy(*SHEET).agg(F.max("c").alias("_last"))
+    anchor = cells.select(*SHEET, F.col("r").alias("r1"), F.col("c").alias("c1"), F.struct(*VALUE).alias("value"))
+    wide = merges.join(last, SHEET).where("c1 <= _last").join(anchor, [*SHEET, "r1", "c1"])
+    own = wide.withColumn("c", F.explode(F.sequence("c1", F.least("c2", "_last")))).join(columns.select(*SHEET, "c").distinct(), [*SHEET, "c"], "left_semi")
+    return own.select(*SHEET, F.col("r1").alias("r"), "c", F.struct("r1", "c1", "r2", "value").alias("_region"))
+
+
+def look(cells: DataFrame, merges: DataFrame, asked: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """The asked places (sheet, r, c and what else they carry) at which a reader sees a value, with dtype, sval, nval, dval and addr.
+
+    That is the cell itself or else the anchor of the region it lies in. The regions of a column are an index of
+    intervals: each place takes the last that starts at or before it, by one forward fill over starts and places in order
+    of rows, and looks through it if it reaches so far. Regions that a program wrote do not overlap; if some do, the
+    one that starts last counts, the one further right among those. `columns` holds the asked columns (sheet, c), if it
+    is known without going through `asked`.
     """
-    spread = (
-        merges.withColumn("r", F.explode(F.sequence("r1", "r2"))).withColumn("c", F.explode(F.sequence("c1", "c2")))
-        .join(cells.select(*SHEET, F.col("r").alias("r1"), F.col("c").alias("c1"), "dtype", "sval", "nval", "dval"), [*SHEET, "r1", "c1"])
-        .select(*SHEET, "r", "c", "dtype", "sval", "nval", "dval", address.address(F.col("r1"), F.col("c1")).alias("addr"))
-    )
-    own = with_address(cells).select(*SHEET, "r", "c", "dtype", "sval", "nval", "dval", "addr")
-    return own.unionByName(spread.join(own.select(*SHEET, "r", "c"), [*SHEET, "r", "c"], "left_anti"))
+    columns = asked.select(*SHEET, "c").distinct() if columns is None else columns
+    own = asked.join(cells.select(*SHEET, "r", "c", F.struct(*VALUE).alias("_own")), [*SHEET, "r", "c"], "left").withColumn("_asked", F.lit(True))
+    events = own.unionByName(region_starts(cells, merges, columns), allowMissingColumns=True)
+    run = Window.partitionBy(*SHEET, "c").orderBy("r", F.col("_asked").asc_nulls_first(), "_region.c1").rowsBetween(Window.unboundedPreceding, 0)
+    filled = events.withColumn("_over", F.last("_region", ignorenulls=True).over(run)).where("_asked")
+    inside = F.col("_over.r2") >= F.col("r")
+    seen = filled.withColumns({"_value": F.coalesce("_own", F.when(inside, F.col("_over.value"))), "_r": F.when(F.col("_own").isNull(), F.col("_over.r1")).otherwise(F.col("r")), "_c": F.when(F.col("_own").isNull(), F.col("_over.c1")).otherwise(F.col("c"))})
+    return seen.where("_value is not null").select(*asked.columns, "_value.*", address.address(F.col("_r"), F.col("_c")).alias("addr"))

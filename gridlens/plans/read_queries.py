@@ -88,7 +88,9 @@ def find_value(spark, sf):
     join cells a on a.sheet = m.sheet and a.r = m.r1 and a.c = 1 where not exists (select 1 from cells o where o.sheet = m.sheet and o.r = x.r and o.c = 1)
 ) select sheet, r, c, sval, addr from seen where c = 1""")
 def merge_lookup(spark, sf):
-    return read.covered(grids.cells(spark, sf, "orders"), grids.merges(spark, sf)).where("c = 1").select("sheet", "r", "c", "sval", "addr")
+    cells = grids.cells(spark, sf, "orders")
+    places = read.sheets(cells).select(*grids.SHEET, F.explode(F.sequence(F.lit(1), "max_row")).alias("r"), F.lit(1).alias("c"))
+    return read.look(cells, grids.merges(spark, sf), places).select("sheet", "r", "c", "sval", "addr")
 
 
 @query("select p_partkey, p_name, trim(regexp_replace(lower('  ' || p_type || chr(9) || p_brand || ' '), '\\s+', ' ', 'g')) as norm from part")
