@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from gridlens import matching
 from gridlens.functions import address, scalars, vocab
 from gridlens.operators import apply, bands, check, evaluate, kv, read, rows, survey
 from gridlens.sources import xlsx
@@ -148,7 +149,8 @@ def test_addresses(spark):
     assert all(r["id"] == r["c"] == r["r"] for r in got) and {r["id"]: r["a"] for r in got}[703] == "AAA703"
 
 
-def test_greedy_matching(spark):
+@pytest.mark.parametrize("block", [matching.BLOCK, 2])
+def test_greedy_matching(spark, block):
     draw = random.Random(4)
     one = lambda f, k: (f, k, draw.choice([None, "", "1", "2"]), draw.choice(["a", "b"]), draw.choice(["x", "y", None]))
     labels = [one(f, k) for f in range(40) for k in range(draw.randint(1, 6))]
@@ -164,10 +166,22 @@ def test_greedy_matching(spark):
                     break
             want[f, e[1]] = own[hit][1] if hit is not None else None
     schema = "file int, ord int, io_number string, style_code string, color_code string"
-    pairs = evaluate.matched(spark.createDataFrame(labels, schema), spark.createDataFrame(items, schema), "file", "ord", ["io_number", "style_code", "color_code"])
+    pairs = evaluate.matched(spark.createDataFrame(labels, schema), spark.createDataFrame(items, schema), "file", "ord", ["io_number", "style_code", "color_code"], block)
     assert {(r["file"], r["exp"]["ord"]): r["act"]["ord"] if r["act"] else None for r in pairs.collect()} == want
 
 
+def test_matching_of_a_file_with_equal_keys_goes_by_blocks(spark):
+    """Blocks of one large group take what one scan over the whole of it takes."""
+    draw = random.Random(8)
+    one = lambda k: (1, k, "io", draw.choice([None, "s", "t"]), draw.choice(["x", "y", None]))
+    labels, items = [one(k) for k in range(900)], [one(k) for k in range(700)]
+    want = dict(matching.scan([(e[1], *e[3:]) for e in labels], [(i[1], *i[3:]) for i in items]))
+    assert len(want) == 700
+    schema = "file int, ord int, io_number string, style_code string, color_code string"
+    got = evaluate.matched(spark.createDataFrame(labels, schema), spark.createDataFrame(items, schema), "file", "ord", ["io_number", "style_code", "color_code"], 300)
+    assert {r["exp"]["ord"]: r["act"]["ord"] for r in got.collect() if r["act"]} == want
+
+
 def test_confidence(spark):
     fields = spark.createDataFrame([("w", 0.8), ("w", 0.6)], "book string, confidence double")
     none = spark.createDataFrame([], "book string, severity string")
