@@ -13,6 +13,8 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import cached_property
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,28 +48,42 @@ def _date_styles(book: zipfile.ZipFile) -> list[bool]:
     return [own.get(k, k in DATE_FORMATS) for k in (int(x.get("numFmtId", 0)) for x in (styles if styles is not None else []))]
 
 
-def read_workbook(name: str, content: bytes) -> Iterator[tuple]:
-    """The rows of one workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        root = ET.fromstring(book.read("xl/workbook.xml"))
+class Book:
+    """A workbook in a file that can be read at any place: only the parts that are asked for are unpacked."""
+
+    def __init__(self, file: BinaryIO):
+        self.zip = zipfile.ZipFile(file)
+        root = ET.fromstring(self.zip.read("xl/workbook.xml"))
         setting = root.find(f"{_MAIN}workbookPr")
-        epoch = datetime(1904, 1, 1) if setting is not None and setting.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        shared = [_text(x) for x in ET.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
-        dates = _date_styles(book)
-        for order, sheet in enumerate(root.iter(f"{_MAIN}sheet")):
-            target = targets[sheet.get(_REL)]
-            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            head = (name, sheet.get("name"), order)
-            at_row, low, right = 0, 1, 1
-            for _, node in ET.iterparse(io.BytesIO(book.read(part))):
+        self.epoch = datetime(1904, 1, 1) if setting is not None and setting.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+        self._targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
+        #: (name, relation) of each sheet in order.
+        self.sheets = [(s.get("name"), s.get(_REL)) for s in root.iter(f"{_MAIN}sheet")]
+
+    @cached_property
+    def shared(self) -> list[str]:
+        return [_text(x) for x in ET.fromstring(self.zip.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in self.zip.namelist() else []
+
+    @cached_property
+    def dates(self) -> list[bool]:
+        return _date_styles(self.zip)
+
+    def rows(self, name: str, order: int, size: int) -> Iterator[tuple]:
+        """The rows of one sheet."""
+        sheet, relation = self.sheets[order]
+        target = self._targets[relation]
+        part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        head = (name, sheet, order)
+        at_row, low, right = 0, 1, 1
+        with self.zip.open(part) as content:
+            for _, node in ET.iterparse(content):
                 if node.tag == f"{_MAIN}row":
                     at_row = int(node.get("r", at_row + 1))
                     at_column = 0
                     for cell in node.iter(f"{_MAIN}c"):
                         row, at_column = _place(cell.get("r")) if cell.get("r") else (at_row, at_column + 1)
                         low, right = max(low, row), max(right, at_column)
-                        value = _value(cell, shared, dates, epoch)
+                        value = _value(cell, self.shared, self.dates, self.epoch)
                         if value:
                             yield (*head, "cell", row, at_column, None, None, *value)
                     node.clear()
@@ -76,7 +92,19 @@ def read_workbook(name: str, content: bytes) -> Iterator[tuple]:
                     (r1, c1), (r2, c2) = _place(first), _place(last or first)
                     low, right = max(low, r2), max(right, c2)
                     yield (*head, "merge", r1, c1, r2, c2, None, None, None, None)
-            yield (*head, "sheet", low, right, None, None, None, None, float(len(content)), None)
+        yield (*head, "sheet", low, right, None, None, None, None, float(size), None)
+
+
+def error_row(name: str, error: Exception) -> tuple:
+    """The row that stands for a workbook that cannot be read."""
+    return (name, None, None, "error", None, None, None, None, None, f"{type(error).__name__}: {error}"[:200], None, None)
+
+
+def read_workbook(name: str, content: bytes) -> Iterator[tuple]:
+    """The rows of one workbook."""
+    book = Book(io.BytesIO(content))
+    for order in range(len(book.sheets)):
+        yield from book.rows(name, order, len(content))
 
 
 def _value(cell: ET.Element, shared: list[str], dates: list[bool], epoch: datetime) -> tuple | None:
@@ -119,7 +147,7 @@ def parse(files: DataFrame) -> DataFrame:
                 try:
                     out = list(read_workbook(name, content))
                 except Exception as error:  # noqa: BLE001  one broken file must not stop the others
-                    out = [(name, None, None, "error", None, None, None, None, None, f"{type(error).__name__}: {error}"[:200], None, None)]
+                    out = [error_row(name, error)]
                 frame = pd.DataFrame(out, columns=names)
                 for column in ("sheet_ord", "r", "c", "r2", "c2"):
                     frame[column] = frame[column].astype("Int32")
