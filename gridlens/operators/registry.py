@@ -1,4 +1,4 @@
-"""Read tools by name: functions from cells to a DataFrame."""
+"""Read tools by name: functions from cells to a DataFrame. `operators.sql` has the same tools as SQL table functions."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlens.functions import address, scalars
-from gridlens.operators import read
+from gridlens.operators import read, sql
 from gridlens.plans.registry import registry
 from gridlens.session import table
 from gridlens.sources import grids
@@ -130,3 +130,33 @@ def values_equal(spark, sf):
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     other = F.when(F.col("l_orderkey") % 3 == 0, F.concat(day, F.lit(" 00:00:00"))).when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit(" "), day)).otherwise(F.lit("1900-01-01"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalars.values_equal(day, other).alias("same"))
+
+
+def _tools(spark, sf):
+    """The tools as SQL functions over the order grid."""
+    sql.register(spark, grids.cells(spark, sf, "orders"), grids.merges(spark, sf), "orders_")
+
+
+@query(f"{GO} select sheet, r, c, sval, cast(k as int) as hit from (select *, row_number() over (partition by sheet order by r, c) as k from cells where contains(lower(sval), 'p1')) x where k <= 3")
+def sql_find_value(spark, sf):
+    _tools(spark, sf)
+    return spark.sql("select sheet, r, c, sval, hit from orders_find_value('P1', max_hits => 3)")
+
+
+@query(f"{GOM} select m.sheet, 'A' || cast(m.r1 as varchar) || ':A' || cast(m.r2 as varchar) as range, a.sval as anchor_value, b.sval as beside from merges m left join cells a on a.sheet = m.sheet and a.r = m.r1 and a.c = m.c1 left join cells b on b.sheet = m.sheet and b.r = m.r1 and b.c = 2")
+def sql_merged_and_beside(spark, sf):
+    """Each region with its anchor's value and, by a lateral call, the cell right of the anchor."""
+    _tools(spark, sf)
+    return spark.sql("select m.sheet, m.range, m.anchor_value, v.sval as beside from orders_get_merged_regions() m left join lateral orders_read_relative(m.workbook_id, m.sheet, m.anchor, 0, 1) v")
+
+
+@query(f"{GO} select sheet, count(*) filter (c = 4 and r between 2 and 40) as n from cells group by sheet")
+def sql_count_column(spark, sf):
+    _tools(spark, sf)
+    return spark.sql("select sheet, n from orders_count_non_empty_rows_in_column(4, 2, 40)")
+
+
+@query(f"{GO}, ids(p, \"row\") as (values (0, 3), (1, 1), (2, 3)), named as (select distinct sheet from cells) select n.sheet, cast(p as int) as pos, cast(i.\"row\" as int) as \"row\", coalesce(string_agg(cast(c.c as varchar) || ':' || c.sval, '|' order by c.c), '') as shown from named n cross join ids i left join cells c on c.sheet = n.sheet and c.r = i.\"row\" group by n.sheet, p, i.\"row\"")
+def sql_sample_rows(spark, sf):
+    _tools(spark, sf)
+    return spark.sql("select sheet, pos, row, array_join(values, '|') as shown from orders_sample_rows(array(3, 1, 3))")
