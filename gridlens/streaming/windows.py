@@ -49,19 +49,28 @@ def each_batch(stream: DataFrame, sink, checkpoint: str):
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def extract_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str):
-    """Starts a query that extracts all workbooks that have arrived under a path, each once, and adds their outputs to `out`."""
+def arrivals_sink(out: str):
+    """A sink for `each_batch` that extracts a batch of workbooks into `out`, exactly once.
+
+    Outputs are keyed by batch and workbook (batch=.../stem=...), and a batch that is run again, as it is after a failure
+    between its output and its commit, replaces what it wrote before. Each write is committed whole.
+    """
     from gridlens.operators import extract
     from gridlens.sources import xlsx
 
-    def work(batch: DataFrame, _: int) -> None:
+    def work(batch: DataFrame, number: int) -> None:
         rows = stored(xlsx.parse(batch))
         results = extract.extract(xlsx.cells(rows), xlsx.merges(rows), xlsx.extents(rows), xlsx.errors(rows))
-        outputs = extract.envelopes(results).withColumn("stem", xlsx.stem(F.col("workbook_id"))).drop("workbook_id")
-        outputs.write.partitionBy("stem").mode("append").json(out)
+        outputs = extract.envelopes(results).withColumns({"batch": F.lit(number), "stem": xlsx.stem(F.col("workbook_id"))}).drop("workbook_id")
+        outputs.write.partitionBy("batch", "stem").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(out)
+
+    return work
 
+
+def extract_arrivals(spark: SparkSession, path: str, out: str, checkpoint: str):
+    """Starts a query that extracts all workbooks that have arrived under a path, each exactly once, into `out`."""
     stream = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
-    return each_batch(stream, work, checkpoint)
+    return each_batch(stream, arrivals_sink(out), checkpoint)
 
 
 def spread(events: DataFrame, size: str, keys: list[str], value: str = "value", shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
