@@ -12,8 +12,8 @@ this links most of a large group of near copies without its pairs. Then all clas
 than one component ask for each other, across components: no link between different components is missed, by any cut.
 
 Dealing: lists that hold many of all postings are found first by mergeable counters (`HOT` of them at most). Their
-postings go to their classes at once, in no one place; where their postings are merged, they are cut into parts, and
-each two parts meet in a task. All other lists are grouped in buckets whose number grows with the postings, about
+postings go to their classes at once, in no one place. Where postings are merged, every list of more than `PART` classes
+is cut into parts, and each two parts meet in a task. All other lists are grouped in buckets whose number grows with the postings, about
 `POSTINGS` a bucket. Postings travel packed: one row holds a bucket's postings from a slice of texts.
 
 Texts that are null or have no words have no set and link with nothing; with fewer than n words the whole sequence is
@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridlens.llm.components import components
 from gridlens.llm.frames import dealt_join, parallelism, stored
@@ -100,20 +102,26 @@ class Frequent:
         self.value, self.count = found[total > 0], total[total > 0]
 
 
-def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, name, second) for each document, nameless if its set is empty; (shingle, seen) for shingles that a task met often."""
-    names = ["doc_id", "n_shingles", "name", "second", "shingle", "seen"]
+def sets(docs: DataFrame, n: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, name, second) for each document, nameless if its set is empty; (shingle, seen) for shingles that a task met often.
+
+    The columns named in `keep` go with the documents.
+    """
+    names = ["doc_id", "n_shingles", "name", "second", "shingle", "seen", *keep]
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    types = to_arrow_schema(slim.select(*keep).schema).types if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = Frequent()
         for part, shingle, _, size, name, second in _sets(batches, n):
             often.add(shingle)
             none, gap = size == 0, pa.nulls(part.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name.view(np.int64), mask=none), pa.array(second.view(np.int64), mask=none), gap, gap], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(name.view(np.int64), mask=none), pa.array(second.view(np.int64), mask=none), gap, gap, *[part.column(c).cast(t) for c, t in zip(keep, types, strict=True)]], names)
         gap = pa.nulls(len(often.value), pa.int64())
-        yield pa.RecordBatch.from_arrays([gap, gap, gap, gap, pa.array(often.value.view(np.int64)), pa.array(often.count)], names)
+        yield pa.RecordBatch.from_arrays([gap, gap, gap, gap, pa.array(often.value.view(np.int64)), pa.array(often.count), *[pa.nulls(len(often.value), t) for t in types]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, name long, second long, shingle long, seen long")
+    own = StructType([StructField(c, LongType()) for c in names[:6]] + [StructField(f.name, f.dataType) for f in slim.select(*keep).schema.fields])
+    return slim.mapInArrow(run, own)
 
 
 _BLOCK = "bucket int, names binary, counts binary, shingles binary, lengths binary"
@@ -201,7 +209,7 @@ def planned(facts: DataFrame, limit: int = HOT, postings: int = POSTINGS) -> Pla
 
 
 def classes_of(docs: DataFrame, named: DataFrame, plan: Plan, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(name, size, lone, shingles): the classes that share T lists at least, and these lists, short ones first; `lone` lists are theirs alone."""
+    """(name, size, lone, shingles, lengths): the classes that share T lists at least, and these lists, short ones first, with their lengths by `_scale`; `lone` lists are theirs alone."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, shingle, row, size, name, second in _sets(batches, n):
@@ -232,22 +240,22 @@ def classes_of(docs: DataFrame, named: DataFrame, plan: Plan, n: int = WORDS, pe
     def gather(posted: pa.Table, sized: pa.Table) -> pa.Table:
         name, shingle, length = _unpacked(posted)
         order = np.lexsort((shingle, length, name))
-        name, shingle = name[order], shingle[order]
+        name, shingle, length = name[order], shingle[order], length[order]
         new = np.ones(len(name), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])
-        name, shingle = name[new], shingle[new]
+        name, shingle, length = name[new], shingle[new], length[new]
         found, first, count = np.unique(name, return_index=True, return_counts=True)
         known = sized.column("name").to_numpy().view(np.uint64)
         by_name = np.argsort(known)
         size = sized.column("size").to_numpy()[by_name[np.searchsorted(known[by_name], found)]] if len(found) else np.empty(0, np.int64)
         enough = np.flatnonzero(count >= occurrences(size, percent))
-        own = [shingle[first[k] : first[k] + count[k]].tobytes() for k in enough]
-        return pa.table([pa.array(found[enough].view(np.int64)), pa.array(size[enough]), pa.array((size - count)[enough]), pa.array(own, pa.binary())], ["name", "size", "lone", "shingles"])
+        own = [[x[first[k] : first[k] + count[k]].tobytes() for k in enough] for x in (shingle, length)]
+        return pa.table([pa.array(found[enough].view(np.int64)), pa.array(size[enough]), pa.array((size - count)[enough]), *[pa.array(o, pa.binary()) for o in own]], ["name", "size", "lone", "shingles", "lengths"])
 
     posted = docs.select("text").mapInArrow(post, _BLOCK).groupBy("bucket").applyInArrow(lists, _BLOCK)
     bucket = (F.shiftrightunsigned("name", 33) % plan.buckets).cast("int").alias("bucket")
     sized = named.where("name is not null").select("name", F.col("n_shingles").alias("size")).distinct().select(bucket, "name", "size")
-    return posted.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(gather, "name long, size long, lone long, shingles binary")
+    return posted.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(gather, "name long, size long, lone long, shingles binary, lengths binary")
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -262,7 +270,7 @@ _ASKED = "bucket int, asks binary, size binary, held binary, found binary, sizes
 def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
     """(a, b): links of classes. Without components, those of each class with the heads of its lists; with components (node, root),
     every link between classes of different ones."""
-    across = roots is not None
+    across, part_size = roots is not None, PART
     whole = classes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name")) if across else classes.withColumn("root", F.col("name"))
 
     def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +280,10 @@ def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, perce
             # Lists of the class alone are its shortest: they take the first places, and meet no one.
             count = np.clip(size - occurrences(size, percent) + merged(size, plan.longest, percent) - lone, 0, None)
             shingle = np.concatenate([s[:k] for s, k in zip(shared, count.tolist(), strict=True)]) if len(shared) else np.empty(0, np.uint64)
+            length = np.concatenate([np.frombuffer(b, np.uint8)[:k] for b, k in zip(batch.column("lengths").to_pylist(), count.tolist(), strict=True)]) if len(shared) else np.empty(0, np.uint8)
             at = np.repeat(np.arange(len(name)), np.minimum(count, [len(s) for s in shared]))
-            # A hot list is cut into parts by class; its postings go to a cell for each two parts.
-            parts = np.maximum(1, -(-plan.held_by(shingle) // PART))
+            # A long list, whatever its share of all postings, is cut into parts by class; its postings go to a cell for each two parts.
+            parts = np.maximum(1, np.ceil(2 ** ((length + 1.0) / 8) / part_size)).astype(np.int64)
             part = (mix(name[at].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
             copy = np.repeat(np.arange(len(at)), parts)
             other = np.arange(len(copy)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -409,18 +418,23 @@ def _hits(lists: np.ndarray, held: np.ndarray) -> int:
     return int((held[np.minimum(np.searchsorted(held, lists), len(held) - 1)] == lists).sum())
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, limit: int = HOT, postings: int = POSTINGS) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    facts = stored(sets(docs, n))
+def labelled(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, limit: int = HOT, postings: int = POSTINGS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, name, root) and `keep`, per row: its class and that class's component, null without words. Stored."""
+    facts = stored(sets(docs, n, keep))
     plan = planned(facts, limit, postings)
     name: Column = F.col("name")
     if len(plan.clashing):
         name = F.when(name.isin(plan.clashing.view(np.int64).tolist()), F.col("second")).otherwise(name)
-    named = facts.where("seen is null").select("doc_id", "n_shingles", name.alias("name"))
+    named = facts.where("seen is null").select("doc_id", "n_shingles", name.alias("name"), *keep)
     classes = stored(classes_of(docs, named, plan, n, percent))
     near = stored(search(classes, plan, None, percent))
     links = stored(near.unionByName(search(classes, plan, components(near), percent)))
     roots = components(links)
-    labelled = stored(dealt_join(named, roots.select(F.col("node").alias("name"), "root"), "name", F.struct("doc_id", "n_shingles"), "left").withColumn("root", F.coalesce("root", "name")))
-    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return dealt_join(labelled, least, "root", F.struct("doc_id", "name"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return stored(dealt_join(named, roots.select(F.col("node").alias("name"), "root"), "name", F.struct("doc_id", "n_shingles", *keep), "left").withColumn("root", F.coalesce("root", "name")))
+
+
+def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, limit: int = HOT, postings: int = POSTINGS) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+    rows = labelled(docs, n, percent, limit, postings)
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return dealt_join(rows, least, "root", F.struct("doc_id", "name"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

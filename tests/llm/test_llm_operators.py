@@ -673,6 +673,16 @@ def test_quality_verdicts_against_brute_force(spark):
             assert r["kept"] == (not r["base_failed"] and want[code] >= 0.5)
 
 
+def test_near_duplicates_go_by_row_whatever_their_ids(spark):
+    """Null and repeated ids are rows like others: of each group one stays, and no row stays because of another's id."""
+    base, other, third = (" ".join(f"{p}{k}" for k in range(40)) for p in "tuv")
+    rows = [(5, base), (None, base + " x"), (None, other), (7, third), (7, base + " q"), (None, other + " z"), (9, third), (9, third), (None, None), (4, "   "), (None, "few"), (None, "few")]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "").select("doc_id", "text").collect()
+    first = min([other, other + " z"], key=lambda t: f"{len(t)}:{hashlib.md5(t.encode()).hexdigest()}")
+    assert sorted(map(tuple, got), key=repr) == sorted([(5, base), (None, first), (7, third), (None, None), (4, "   "), (None, "few")], key=repr)
+
+
 def test_pipeline_stages(spark, monkeypatch):
     texts = pipeline_texts()
     docs = documents(spark, texts)
