@@ -9,7 +9,10 @@ the same weights.
 A null or empty page gives an empty text. Broken markup is read as far as it goes: unclosed elements end with their
 parents, also those whose text is skipped; an option ends at the next one, the head at the first thing that is not head
 content; a tag without its end is text; a quote in a tag opens a value only after an equals sign. Reading takes time in
-proportion to the page, whatever its markup. Repeated rows get equal results; other columns do not matter.
+proportion to the page, whatever its markup. Character references are decoded piece by piece between tags and comments.
+Text for readers whose browser lacks a feature (noscript, and what stands inside audio, video, canvas, textarea) is no text of
+the page; where such an element is not closed, that is the rest of its parent, as in a browser. Repeated rows get equal
+results; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -165,7 +168,7 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         if parts:
-            text = " ".join(references.unescape("".join(parts)).split()) if "&" in (joined := "".join(parts)) else " ".join(joined.split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, place(), len("".join(link_parts).split())))
             parts.clear()
@@ -202,6 +205,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if skip and stack[-1][0] == "head" and text.strip():
             leave_head()
         if text and not skip:
+            # A reference lies within one piece of text: what tags or comments part does not join to one.
+            text = references.unescape(text) if "&" in text else text
             parts.append(text)
             if in_link:
                 link_parts.append(text)

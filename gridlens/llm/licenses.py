@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.textvec import ALNUM, LOWER, Runs, flat_bytes, run_hash, slices
 
-THRESHOLD, BLOCK_WORDS, SPAN = 0.8, 256, 1.5
+THRESHOLD, BLOCK_WORDS, SPAN, LEAD = 0.8, 256, 1.5, 24
 
 #: The phrases of the base scan.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -37,6 +37,7 @@ TEMPLATES = [
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache", "licensed under the apache license version 2.0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("ecl", "licensed under the educational community license version 2.0"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
@@ -47,7 +48,17 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    ("mpl", "the contents of this file are subject to the mozilla public license version 1.1 the license you may not use this file except in compliance with the license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("ofl", "this font software is licensed under the sil open font license version 1.1"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    (
+        "0bsd",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties "
+        "with regard to this software including all implied warranties of merchantability and fitness",
+    ),
+    ("artistic", "you may distribute under the terms of either the gnu general public license or the artistic license"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
     (
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
@@ -87,6 +98,23 @@ TEMPLATES = [
     ),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0"),
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    (
+        "ofl",
+        "permission is hereby granted free of charge to any person obtaining a copy of the font software to use study copy merge embed modify redistribute and sell modified and unmodified copies of the font software "
+        "subject to the following conditions neither the font software nor any of its individual components in original or modified versions may be sold by itself",
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version "
+        "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+    ),
+    (
+        "apache",
+        "apache license version 2.0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    ),
+    ("gpl", "gnu general public license version 3 29 june 2007 everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("lgpl", "gnu lesser general public license version 3 29 june 2007 everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("agpl", "gnu affero general public license version 3 19 november 2007 everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 #: Words that tell a license from others. A template that holds one of its label's is found only with one of them.
@@ -99,9 +127,13 @@ TELLING = {
     "cc-by-nc": ["nc", "noncommercial", "non commercial"],
     "cc-by-sa": ["sa", "sharealike", "share alike"],
     "mpl": ["mozilla"],
+    "ecl": ["educational community"],
+    "ofl": ["font"],
+    "epl": ["eclipse"],
+    "artistic": ["artistic"],
 }
 #: Words of rivals, which a label's templates do not hold.
-RIVAL = {"gpl": ["lesser", "affero"], "cc-by": [*TELLING["cc-by-nc"], *TELLING["cc-by-sa"], "nd", "noderivatives", "noderivs", "no derivatives", "no derivs"]}
+RIVAL = {"mit": ["accompanying documentation", "font software"], "0bsd": ["provided that"], "apache": ["ecl", "educational community", "mozilla"], "gpl": ["lesser", "affero"], "cc-by": [*TELLING["cc-by-nc"], *TELLING["cc-by-sa"], "nd", "noderivatives", "noderivs", "no derivatives", "no derivs"]}
 
 
 class Index:
@@ -129,6 +161,8 @@ class Index:
         own = [hashed(TELLING.get(label, [])) for label in self.labels]
         self.telling = [tells if any(_places(np.array(w, np.uint64), t) for t in tells) else [] for tells, w in zip(own, words, strict=True)]
         self.rival = [hashed(RIVAL.get(label, [])) for label in self.labels]
+        #: A sentence that names no license, of a license that has a name, is also barred by a rival shortly before it.
+        self.lead = [LEAD if tells and not found else 0 for tells, found in zip(own, self.telling, strict=True)]
         #: Every run of a template's span must lie within one block.
         self.block_words = max([BLOCK_WORDS, *(2 * n for n in self.span)])
 
@@ -161,6 +195,8 @@ class Index:
         bars = sorted(i for t in self.rival[k] for i in _places(hashes, t))
         most = 0
         for start in sorted({i for i, t in enumerate(tokens) if t in members} | {i for i, _ in tells}):
+            if any(start - self.lead[k] <= i < start for i in bars):
+                continue
             stop = min([start + span, *(i for i in bars if i >= start)])
             if not self.telling[k] or any(start <= i and j <= stop for i, j in tells):
                 most = max(most, len(members.intersection(tokens[start:stop])))

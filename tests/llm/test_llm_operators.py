@@ -188,6 +188,15 @@ def test_license_scan_tells_licenses_apart(spark):
         (f"{free} Lesser {published}", "gpl,lgpl"),
         (f"{free} Library {published}", "gpl,lgpl"),
         (f"{free} Affero {published}", "agpl,gpl"),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software", "boost"),
+        ("Licensed under the Educational Community License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "ecl"),
+        ("Licensed under the ECL 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at", ""),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "0bsd"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "isc"),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl"),
+        ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "mpl"),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "gpl"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "gpl,lgpl"),
     ]
     got = rows(licenses.scan(documents(spark, [text for text, _ in cases])))
     assert [(text, got[k]["labels"]) for k, (text, _) in enumerate(cases)] == cases
@@ -348,6 +357,12 @@ def test_tags_and_quotes(page, texts):
     assert [b.text for b in html.leaf_blocks(page)] == texts
 
 
+def test_references_do_not_reach_over_tags_and_comments():
+    pages = {"<p>AT&<b>amp;</b>T": "AT&amp;T", "<p>a&<!-- x -->lt;b": "a&lt;b", "<p>AT&amp;T &lt;i&gt; &#233;&nbsp;x": "AT&T <i> é x", "<p>&am<i>p;</i>": "&amp;"}
+    for page, text in pages.items():
+        assert [b.text for b in html.leaf_blocks(page)] == [text]
+
+
 def test_pages_of_odd_markup_are_read_in_linear_time():
     import time
 
