@@ -1,6 +1,6 @@
 """Evaluation of extraction over a corpus of labelled workbooks.
 
-    python -m gridlens.evaluation --labels DIR --workbooks DIR --runs DIR [--replay OUTPUTS] [--smoke]
+    python -m gridlens.evaluation --labels DIR --workbooks DIR --runs DIR [--replay OUTPUTS] [--smoke FILE]
 
 A run extracts all workbooks that have a label, stores the outputs, and scores them; a replay scores stored outputs
 again. A workbook that cannot be read scores nothing and stops no other. Each run has a folder of its own with the
@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.functions import vocab
 from gridlens.operators import evaluate, extract, findings
 from gridlens.session import stored
 from gridlens.sources import labels as label_files
@@ -83,10 +82,10 @@ def main() -> None:
     for name in ("labels", "workbooks", "runs"):
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--replay")
-    parser.add_argument("--smoke", action="store_true")
+    parser.add_argument("--smoke", help="a file with the stems of a short run, one a line")
     given = parser.parse_args()
     spark = SparkSession.builder.appName("gridlens evaluation").getOrCreate()
-    stems = vocab.SMOKE_FILES if given.smoke else None
+    stems = [r["value"] for r in spark.read.text(given.smoke).where("trim(value) <> ''").collect()] if given.smoke else None
     scores = replay(spark, given.replay, given.labels, given.workbooks, given.runs, stems) if given.replay else run(spark, given.labels, given.workbooks, given.runs, stems)
     for row in evaluate.rendered(scores).orderBy("place").toLocalIterator():
         print(row["line"])

@@ -30,21 +30,34 @@ FIELD_LABELS = {
     "quantity": ["quantity", "qty", "order qty", "order quantity", "plan qty", "required qty", "cut qty plan"],
     "delivery_date": ["delivery date", "delivery", "ex fac date", "ex fty date", "ex factory date", "ex factory", "etd", "eta", "etd ex factory as per p o", "shipment date"],
     "order_receipt_date": ["order receipt", "order receipt date"],
+    "pps_completion": ["pps completion"],
+    "sample_completion": ["sample completion"],
+    "sample_dispatch": ["sample dispatch"],
+    "buyer": ["buyer", "buyer name", "customer"],
+    "season": ["season"],
+    "factory": ["factory", "factory name"],
+    "price": ["price", "fob", "unit price"],
+    "balance_qty": ["balance qty", "balance quantity", "balance"],
+    "cut_qty": ["cut qty", "cut quantity"],
+    "sewing_qty": ["sewing qty", "sewing quantity"],
+    "shipped_qty": ["shipped qty", "shipped quantity", "ship qty"],
     "ignore": ["remark", "remarks", "s no", "sno", "sl no"],
 }
 #: Labels that name the item where no label of io_number does, else the buyer's number.
 BUYER_LABELS = ["buyer po no", "buyer po", "po no", "po number", "order no", "order ref"]
 #: Names of stages, and the headers that stand for them beside their own words.
-STAGES = (
-    "fabric lab_dip_send lab_dip_approval fit_send fit_approval art_work_send art_work_approval in_house_fabric_send in_house_fabric_approval pre_production_send pre_production_approval "
-    "first_pattern garment_pattern planned_completion_date size_set lot_card cutting feeding sewing sewing_start sewing_end final_inspection printing embroidery washing finishing packing ex_factory trims_inhouse"
-).split()
+STAGES = [
+    "fabric", "lab_dip_send", "lab_dip_approval", "fit_send", "fit_approval", "art_work_send", "art_work_approval", "in_house_fabric_send",
+    "in_house_fabric_approval", "pre_production_send", "pre_production_approval", "first_pattern", "garment_pattern", "planned_completion_date", "size_set",
+    "lot_card", "cutting", "feeding", "sewing", "sewing_start", "sewing_end", "final_inspection", "printing", "embroidery", "washing", "finishing", "packing",
+    "ex_factory", "trims_inhouse",
+]
 STAGE_LABELS = {
     "ex_factory": ["ex factory shipment", "shipment"], "final_inspection": ["fi", "inspection"], "lab_dip_send": ["l d send"], "lab_dip_approval": ["l d approval"],
     "cutting": ["cut"], "sewing": ["sew"], "packing": ["pack"], "ignore": ["ex factory date", "ex fac date", "delivery date", "order qty", "quantity"],
 }
 #: Labels of a stage's sub-columns.
-SUB_FIELDS = {"planned_date": ["plan", "planned"], "actual_date": ["actual", "actl"], "deviation_days": ["deviation", "dev"], "comments": ["comments"], "remarks": ["remarks"]}
+SUB_FIELDS = {"planned_date": ["plan", "planned"], "actual_date": ["actual", "actl"], "deviation_days": ["deviation", "dev"], "comments": ["comments"], "remarks": ["remarks"], "approval_date": ["approval", "approval date", "approved"], "received_date": ["received", "received date", "recvd"], "approved_qty": ["approved qty", "approved quantity"], "quantity": ["qty", "quantity"]}
 #: Fields of a stage beside its name and source.
 STAGE_FIELDS = ["planned_date", "quantity", "section", "metadata", "confidence"]
 #: Names of sheets that hold no plan.
@@ -60,10 +73,6 @@ SCORED_TERMS = {
     "delivery_date": ["delivery", "ex factory", "etd", "ship"],
     "quantity": ["qty", "quantity"],
 }
-#: The files of the short evaluation.
-SMOKE_FILES = [
-    "CHRISTIAN BERG- T&A", "20260129 DKN AW26 DROP 2 WOMEN NOS CK PRO STATUS", "20260420 MOP W26(1) MANOS07-08 COMPASS PRO", "FA26 YC & EUROPE T&A #1", "63261-TNA", "new job-TNA", "NORTHERN REFLECTIONS- T&a",
-]
 #: Names of the modes in results.
 FORMATS = {"row": "row_per_pli", "section": "section_per_pli", "sheet": "sheet_is_pli"}
 #: Confidence by where a value was found.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,19 @@ def blocks(anchors: DataFrame, gaps: DataFrame) -> DataFrame:
     return marked.select(*SHEET, number.alias("block_id"), F.col("r").alias("start"), end.alias("end"))
 
 
+def placed(found: DataFrame, rows: DataFrame, at: Column) -> DataFrame:
+    """Rows that lie in a block at row `at`, with its block_id, start and end.
+
+    Blocks of a sheet do not overlap, so a row can lie in none but the last that starts at or before it: one forward fill
+    over starts and rows in order, in time that grows with their number, not with blocks times rows.
+    """
+    starts = found.select(*SHEET, F.col("start").alias("_at"), F.struct("block_id", "start", "end").alias("_block"))
+    points = rows.withColumns({"_at": at, "_row": F.lit(True)}).unionByName(starts, allowMissingColumns=True)
+    run = Window.partitionBy(*SHEET).orderBy("_at", F.col("_row").asc_nulls_first(), "_block.block_id").rowsBetween(Window.unboundedPreceding, 0)
+    filled = points.withColumn("_in", F.last("_block", ignorenulls=True).over(run)).where("_row and _at <= _in.end")
+    return filled.select(*rows.columns, "_in.block_id", "_in.start", "_in.end")
+
+
 def block_members(found: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Key-value pairs whose label lies in a block: an interval join within a sheet."""
-    return found.join(keyed, SHEET).where("label_row between start and end")
+    """Key-value pairs whose label lies in a block."""
+    return placed(found, keyed, F.col("label_row"))

@@ -69,7 +69,7 @@ def plan_sheets(cells: DataFrame, merges: DataFrame, extents: DataFrame | None =
     found, columns = (stored(x) for x in band_plan(cells, merges))
     anchors = of_mode(roles.where("role = 'anchor'"), "section")
     blocks = stored(kv.blocks(anchors.select(*SHEET, "r"), of_mode(survey.blank_gaps(cells, extents), "section")))
-    inside = found.join(blocks, SHEET).where(row_of(F.col("name_cell")).between(F.col("start"), F.col("end"))).drop("start", "end")
+    inside = kv.placed(blocks, found, row_of(F.col("name_cell"))).drop("start", "end")
     placed = of_mode(found, "row", "sheet").withColumn("block_id", F.lit(None).cast("int")).unionByName(inside)
     taken = claimed_columns(of_mode(columns, "row"))
     own = of_mode(roles, "row")

@@ -151,7 +151,8 @@ def extract_books(spark, sf):
 
 @query(f"""{GO}, n as (select count(*) as n from go_rows where kind = 1) select 'field_dropout' as "check", 'fabric_code' as field, 'warning' as severity, chr(39) || 'fabric_code' || chr(39) || ' populated in 0/' || cast(n as varchar) || ' PLIs (ratio 0.00 < floor 0.5)' as message from n""")
 def extract_warnings(spark, sf):
-    return order_results(spark, sf)["warnings"].where("field = 'fabric_code'").select("check", "field", "severity", "message")
+    """All warnings of the flow: only the fabric is never given."""
+    return order_results(spark, sf)["warnings"].select("check", "field", "severity", "message")
 
 
 @query(f"""{GO}, per as (select 'C' || cast(cust as varchar) as sheet, count(*) as n_rows from go_rows where kind = 1 group by cust) select sheet, 'row' as mode, 1 as id_col, 0.9 as confidence, n_rows, 5 as n_labels, 0 as n_keys, 0 as n_blocks, 0 as n_bands from per""")
@@ -161,7 +162,7 @@ def plan_sheets(spark, sf):
 
 @query(f"""{_STAGES}, data as (select distinct sheet, r from cells where c = 1 and r > 3), prim as (select d.sheet, d.r, k.stage, k.pc, max(case when k.sub_label = 'Actual' then k.sub_col end) as sub_col, any_value(case when c.dtype = 'date' then cast(c.dval as date) end) as planned_date
    from data d join kept k on k.sheet = d.sheet join cells c on c.sheet = d.sheet and c.r = d.r and c.c = k.pc group by d.sheet, d.r, k.r, k.stage, k.pc)
- select p.sheet, p.r as item, case when p.stage in ('Plan', 'Actual') then p.stage else lower(p.stage) end as stage, p.planned_date, cast(cast(a.dval as date) as varchar) as actual_date from prim p left join cells a on a.sheet = p.sheet and a.r = p.r and a.c = p.sub_col""")
+ select p.sheet, p.r as item, lower(p.stage) as stage, p.planned_date, cast(cast(a.dval as date) as varchar) as actual_date from prim p left join cells a on a.sheet = p.sheet and a.r = p.r and a.c = p.sub_col where p.stage not in ('Plan', 'Actual')""")
 def plan_stages(spark, sf):
     """The stages of all items of the band grid, by its plan."""
     cells, none, _ = _bands(spark, sf)

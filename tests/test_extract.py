@@ -213,7 +213,7 @@ def test_names_by_rule(spark):
     assert {(r["sheet"], r["raw"]): r["canonical"] for r in found.collect()} == {("a", "Buyer PO No."): "io_number", ("a", "STYLE"): "style_code", ("a", "Plan Qty"): "quantity", ("b", "Buyer PO"): "buyer_po_no", ("b", "IO-NO"): "io_number", ("b", "Style"): "style_name", ("b", "Etd"): "delivery_date"}
     stages = [("w", "a", x, y) for x, y in (("Ex-Factory Shipment", "Plan"), ("Size Set", "Actl"), ("FI", None), ("Delivery Date", "odd"), ("Unknown", None))]
     columns = spark.createDataFrame(stages, "workbook_id string, sheet string, stage string, sub_label string")
-    assert {r["raw"]: r["canonical"] for r in naming.stage_names(columns).collect()} == {"Ex-Factory Shipment": "ex_factory", "Size Set": "size_set", "FI": "final_inspection", "Delivery Date": "ignore"}
+    assert {r["raw"]: r["canonical"] for r in naming.stage_names(columns).collect()} == {"Ex-Factory Shipment": "ex_factory", "Size Set": "size_set", "FI": "final_inspection", "Delivery Date": "ignore", "Unknown": "ignore"}
     assert {r["raw"]: r["canonical"] for r in naming.subfield_names(columns).collect()} == {"Plan": "planned_date", "Actl": "actual_date"}
 
 

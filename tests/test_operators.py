@@ -130,6 +130,26 @@ def test_block_bounds(spark):
     assert {(r["sheet"], r["start"], r["end"]) for r in kv.blocks(anchors, gaps).collect()} == {("s", 4, 6), ("s", 9, 11), ("t", 3, 3)}
 
 
+def test_placement_in_blocks_is_an_interval_join_and_grows_with_its_rows(spark):
+    draw = random.Random(3)
+    blocks, points = [], []
+    for k in range(20):
+        at = 1
+        for b in range(draw.randint(0, 6)):
+            start = at + draw.randint(0, 3)
+            at = start + draw.randint(0, 4)
+            blocks.append(("w", f"s{k}", b, start, at))
+            at += 1
+        points += [("w", f"s{k}", draw.randint(1, 30), n) for n in range(15)]
+    found = spark.createDataFrame(blocks, "workbook_id string, sheet string, block_id int, start int, end int")
+    rows_ = spark.createDataFrame(points, "workbook_id string, sheet string, r int, n int")
+    got = sorted((x["sheet"], x["r"], x["n"], x["block_id"]) for x in kv.placed(found, rows_, F.col("r")).collect())
+    assert got == sorted((s, r, n, b) for _, s, r, n in points for _, t, b, lo, hi in blocks if s == t and lo <= r <= hi)
+    many = spark.range(100_000).selectExpr("'w' as workbook_id", "'s' as sheet", "cast(id as int) as block_id", "cast(3 * id as int) as start", "cast(3 * id + 1 as int) as end")
+    placed = kv.placed(many, many.selectExpr("workbook_id", "sheet", "start + block_id % 3 as r"), F.col("r"))
+    assert placed.count() == 66_667 and "Join" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_items_promote_and_route(spark):
     cells = grid(spark, {"s": {(1, 1): "buyer_po_no", (1, 2): "ORDER QTY", (1, 3): "STYLE", (1, 4): "EX FAC DATE", (2, 1): 131673, (2, 2): "PO", (2, 3): 1078.0, (2, 4): "5-Jan-24", (3, 1): 1, (3, 2): "1,420", (3, 3): 1078.5, (3, 4): "soon"}})
     roles = spark.createDataFrame([("w", "s", 1, "header"), ("w", "s", 2, "anchor"), ("w", "s", 3, "anchor")], "workbook_id string, sheet string, r int, role string")
