@@ -22,8 +22,7 @@ def row_facts(cells: DataFrame, merges: DataFrame, extents: DataFrame | None = N
     identity column, the one that starts last counts.
     """
     extents = sheets(cells) if extents is None else extents
-    hits = survey.vocab_hits(cells).groupBy(*SHEET).agg(F.collect_set("text").alias("terms"))
-    columns = survey.identity_columns(cells).join(survey.quantity_columns(cells), SHEET, "left").join(hits, SHEET, "left")
+    columns = survey.head_columns(cells).where("id_col is not null")
     none = lambda kind: F.lit(None).cast(kind)
     is_id = F.col("c") == F.col("id_col")
     number = (F.col("c") == F.col("qty_col")) & F.col("dtype").isin("int", "float", "bool")

@@ -84,6 +84,21 @@ def identity_columns(cells: DataFrame) -> DataFrame:
     return columns.groupBy(*SHEET).agg(F.min_by("c", F.struct(F.when(F.col("first"), 0).otherwise(1), "at")).alias("id_col"))
 
 
+def head_columns(cells: DataFrame) -> DataFrame:
+    """(id_col, qty_col, terms): the identity and quantity columns of each sheet and its vocabulary texts, in one pass over the
+    header rows. Sheets with neither have no row."""
+    head = _head_text(cells, HEADER_ROWS)
+    hit = F.exists(_terms(vocab.IDENTITY), lambda t: F.contains(F.col("text"), t))
+    first = F.exists(_terms(vocab.IDENTITY_FIRST), lambda t: F.contains(F.lower("raw"), t))
+    amount = (F.col("r") <= QUANTITY_ROWS) & (F.contains("text", F.lit("qty")) | F.contains("text", F.lit("quantity")))
+    told = head.withColumns({"hit": hit, "amount": amount}).where("hit or amount")
+    columns = told.groupBy(*SHEET, "c").agg(
+        F.min(F.when(F.col("hit"), F.struct("r", "c"))).alias("at"), F.coalesce(F.max(F.when(F.col("hit"), first)), F.lit(False)).alias("first"), F.max("amount").alias("amount"), F.collect_set(F.when(F.col("hit"), F.col("text"))).alias("texts")
+    )
+    order = F.when(F.col("at").isNotNull(), F.struct((~F.col("first")).alias("later"), "at"))
+    return columns.groupBy(*SHEET).agg(F.min(order)["at"]["c"].alias("id_col"), F.min(F.when(F.col("amount"), F.col("c"))).alias("qty_col"), F.array_distinct(F.flatten(F.collect_list("texts"))).alias("terms"))
+
+
 def quantity_columns(cells: DataFrame) -> DataFrame:
     """(qty_col): the leftmost column with a quantity header in the first rows."""
     found = _head_text(cells, QUANTITY_ROWS).where(F.contains("text", F.lit("qty")) | F.contains("text", F.lit("quantity")))

@@ -46,6 +46,19 @@ def _modes(prefix: str) -> str:
     select sheet, n_real, n_hits, n_hit_rows, n_gaps, case when n_real > 0 and n_gaps >= 2 and n_hits >= 3 and n_hit_rows >= 2 then 'section' when n_real > 0 then 'row' when n_hits >= 2 then 'sheet' else 'row' end as mode from facts"""
 
 
+@query(f"""{GB}, {HITS}, {KEYS}, {GAPS}, extent as (select sheet, max(r) as max_row, max(c) as max_col from cells group by sheet),
+    cand as (select sheet, c, min(r) as r from hits group by sheet, c), dated as (select sheet, c from cells group by sheet, c having count(*) >= 2 and count(*) filter (dtype = 'date') * 2 >= count(*)),
+    a as (select sheet, string_agg(cast(c as varchar), ',' order by r, c) as candidates from cand group by sheet), b as (select sheet, string_agg(cast(c as varchar), ',' order by c) as date_cols from dated group by sheet),
+    g as (select sheet, count(*) as n_gaps from gaps group by sheet), k as (select sheet, string_agg(raw, ',' order by r, c) as key_labels from keys group by sheet)
+    select sheet, max_row, max_col, candidates, date_cols, coalesce(n_gaps, 0) as n_gaps, key_labels from extent left join a using (sheet) left join b using (sheet) left join g using (sheet) left join k using (sheet)""")
+def sheet_signals(spark, sf):
+    """What is known of each sheet before its mode is chosen, in one row a sheet."""
+    joined = lambda name: F.array_join(F.transform(name, lambda x: x.cast("string")), ",")
+    keys = F.array_join(F.transform("key_hits", lambda x: x["raw"]), ",")
+    found = survey.signals(grids.cells(spark, sf, "bands"))
+    return found.select("sheet", "max_row", "max_col", joined("identity_candidates").alias("candidates"), joined("date_cols").alias("date_cols"), F.coalesce(F.size("gaps"), F.lit(0)).cast("long").alias("n_gaps"), keys.alias("key_labels"))
+
+
 _MODE_COLUMNS = ["sheet", "n_real", "n_hits", "n_hit_rows", "n_gaps", "mode"]
 
 
