@@ -143,13 +143,13 @@ def extract_items(spark, sf):
     return items.select("sheet", "item", "io_number", F.coalesce("style_code", "style_name").alias("style"), "color_code", "quantity", "delivery_date", F.try_element_at("cells", F.lit("io_number")).alias("io_cell"), F.array_join("rows", ",").alias("rows"), F.size("stages").alias("n_stages"))
 
 
-@query(f"""{GO}, items as (select * from go_rows where kind = 1) select 'orders' as workbook_id, 'row_per_pli' as format, round(0.7 * 0.85, 4) as confidence, count(*) as n_items from items""")
+@query(f"""{GO}, items as (select * from go_rows where kind = 1) select {grids.ORDER_BOOK} as workbook_id, 'row_per_pli' as format, round(0.7 * 0.85, 4) as confidence, count(*) as n_items from items group by floor(cust / 50)""")
 def extract_books(spark, sf):
     """Every field is read from a header column, and the fabric is never given: all findings are warnings."""
     return order_results(spark, sf)["books"].select("workbook_id", "format", "confidence", "n_items")
 
 
-@query(f"""{GO}, n as (select count(*) as n from go_rows where kind = 1) select 'field_dropout' as "check", 'fabric_code' as field, 'warning' as severity, chr(39) || 'fabric_code' || chr(39) || ' populated in 0/' || cast(n as varchar) || ' PLIs (ratio 0.00 < floor 0.5)' as message from n""")
+@query(f"""{GO}, n as (select count(*) as n from go_rows where kind = 1 group by floor(cust / 50)) select 'field_dropout' as "check", 'fabric_code' as field, 'warning' as severity, chr(39) || 'fabric_code' || chr(39) || ' populated in 0/' || cast(n as varchar) || ' PLIs (ratio 0.00 < floor 0.5)' as message from n""")
 def extract_warnings(spark, sf):
     """All warnings of the flow: only the fabric is never given."""
     return order_results(spark, sf)["warnings"].select("check", "field", "severity", "message")

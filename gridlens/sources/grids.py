@@ -1,7 +1,7 @@
 """Grids derived from the star-schema tables, in the long form every operator reads.
 
 cells: one row for each non-empty cell. Sheets are bounded by their key (a customer, a supplier, a part), so a sheet is
-never large and the number of sheets grows with the data. The SQL is plain enough for Spark and DuckDB alike; the
+never large and the number of sheets and workbooks grows with the data. The SQL is plain enough for Spark and DuckDB alike; the
 oracles use the same text, so both sides start from the same cells.
 """
 
@@ -33,7 +33,9 @@ go_lines as (
 ), go_heads as (
   select cust, 1 as r from go_rows where r = 2 union all select cust, r from go_rows where kind = 0
 )"""
-_SHEET = "'orders' as workbook_id, 'C' || cast(cust as string) as sheet"
+#: A workbook of orders holds fifty customers.
+ORDER_BOOK = "'orders ' || cast(cast(floor(cust / 50) as bigint) as string)"
+_SHEET = f"{ORDER_BOOK} as workbook_id, 'C' || cast(cust as string) as sheet"
 
 
 def _text(sheet: str, column: int, value: str, where: str, source: str = "go_rows") -> str:
