@@ -104,6 +104,19 @@ def items_sheet(spark, sf):
     return items.select("sheet", "io_number", "style_code", "fabric_code", "quantity")
 
 
+@query(f"""{GK} select 'K' || cast(c_custkey as varchar) as sheet, 'sheet' as mode, cast(c_custkey as varchar) as io_number, c_mktsegment as style_code,
+ 'Order Qty' as fabric_code, case when c_custkey % 4 = 0 then cast(c_nationkey + 100 as bigint) else cast(floor(abs(c_acctbal)) as bigint) end as quantity, 'B2' as io_cell from gk""")
+def extract_key_sheets(spark, sf):
+    """The whole flow where a sheet is an item."""
+
+    def make():
+        cells = grids.cells(spark, sf, "customers")
+        return extract.extract(cells, grids.merges(spark, sf).where("false")).items
+
+    items = grids.kept(spark, sf, "key sheet items", make, "customer nation")
+    return items.select("sheet", "mode", "io_number", "style_code", "fabric_code", "quantity", F.try_element_at("cells", F.lit("io_number")).alias("io_cell"))
+
+
 @query(f"""{BOUNDS}, {KEYS}, vals as (select b.sheet, b.block_id, k.raw, v.sval, v.nval from bounds b join keys k on k.sheet = b.sheet and k.r between b."start" and b."end" join cells v on v.sheet = k.sheet and v.r = k.r and v.c = 3)
  select sheet, block_id, max(case when raw = 'Qty' then cast(nval as bigint) end) as quantity, max(case when raw = 'Style' then sval end) as style_code from vals group by sheet, block_id""")
 def items_section(spark, sf):

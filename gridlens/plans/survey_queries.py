@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlens.functions import vocab
 from gridlens.operators import kv, rows, survey
+from gridlens.operators import plan as planning
 from gridlens.plans.read_queries import GB, GK, GO, GOM, GS
 from gridlens.plans.registry import registry
 from gridlens.sources import grids
@@ -137,6 +138,15 @@ def kv_pairs(spark, sf):
     return kv.key_values(grids.cells(spark, sf, "customers")).select("sheet", "label", "label_row", "value_cell")
 
 
+@query(f"""{GK}, {KEYS}, both_sides as (select k.sheet, a.dtype as rt, b.dtype as bt from keys k left join cells a on a.sheet = k.sheet and a.r = k.r and a.c = k.c + 1 left join cells b on b.sheet = k.sheet and b.r = k.r + 1 and b.c = k.c),
+ pairs as (select sheet, count(*) as n from both_sides where rt is not null or bt is not null group by sheet)
+ select sheet, 'sheet' as mode, case when n >= 3 then 0.92 else 0.85 end as confidence, n as n_keys, 0 as n_rows, 0 as n_blocks from pairs""")
+def plan_key_sheets(spark, sf):
+    """Plans of sheets that are items."""
+    cells = grids.cells(spark, sf, "customers")
+    return planning.summary(planning.plan_sheets(cells, grids.merges(spark, sf).where("false"))).select("sheet", "mode", "confidence", "n_keys", "n_rows", "n_blocks")
+
+
 #: Anchors of the block grid: cells of column A.
 ANCHORS = "anchors as (select sheet, r, lead(r) over (partition by sheet order by r) as nxt, row_number() over (partition by sheet order by r) - 1 as block_id from cells where c = 1)"
 BOUNDS = f"""{GS}, {GAPS}, {ANCHORS}, bounds as (select a.sheet, a.block_id, a.r as "start", coalesce(min(g.g_start) - 1, any_value(a.nxt) - 1, a.r) as "end" from anchors a left join gaps g on g.sheet = a.sheet and g.g_start >= a.r and (a.nxt is null or g.g_start <= a.nxt - 1) group by a.sheet, a.block_id, a.r)"""
