@@ -47,6 +47,13 @@ def phase_durations(spark, sf):
     return windows.durations(table(spark, sf, "events"), "event_type")
 
 
+@query("""select strftime(to_timestamp(s) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as w_start, event_type, count(*) as n, round(avg("value"), 6) as mean, round(max("value"), 6) as largest
+ from (select *, e // 900 * 900 - k * 900 as s from (select *, cast(floor(epoch(ts)) as bigint) as e from events) x, (values (0), (1), (2), (3)) o(k)) y group by s, event_type""")
+def sliding_phase_durations(spark, sf):
+    """Durations of each phase over the hour before every quarter of an hour."""
+    return _shown(windows.sliding_durations(table(spark, sf, "events"), "1 hour", "15 minutes", "event_type")).drop("w_end")
+
+
 @query("""select strftime(to_timestamp(e // 3600 * 3600) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as w_start, event_type, count(*) as n, quantile_disc("value", 0.5) as p50, quantile_disc("value", 0.9) as p90, quantile_disc("value", 0.99) as p99
  from (select *, cast(floor(epoch(ts)) as bigint) as e from events) x group by e // 3600, event_type""")
 def hourly_percentiles(spark, sf):

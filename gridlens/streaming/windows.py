@@ -97,3 +97,9 @@ def levels(events: DataFrame, up: str, down: str, keys: list[str], kind: str = "
 def durations(events: DataFrame, phase: str, value: str = "value") -> DataFrame:
     """Count, mean and largest duration of each phase."""
     return events.groupBy(phase).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("largest"))
+
+
+def sliding_durations(events: DataFrame, size: str, step: str, phase: str, value: str = "value") -> DataFrame:
+    """Count, mean and largest duration of each phase in windows of `size` that begin every `step`: a moving average."""
+    grouped = marked(events).groupBy(F.window("ts", size, step).alias("w"), phase).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("largest"))
+    return grouped.select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), phase, "n", "mean", "largest")

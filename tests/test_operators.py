@@ -241,7 +241,7 @@ def test_windows_on_a_stream_are_those_of_the_table(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
-    for make in (lambda e: windows.tumbling(e, "60 seconds", ["event_type"]), lambda e: windows.sessions(e, "30 minutes", ["user_id"])):
+    for make in (lambda e: windows.tumbling(e, "60 seconds", ["event_type"]), lambda e: windows.sessions(e, "30 minutes", ["user_id"]), lambda e: windows.sliding_durations(e, "1 hour", "20 minutes", "event_type")):
         name = f"t{abs(hash(make))}"
         run = make(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         run.awaitTermination(120)
