@@ -41,7 +41,7 @@ def _label_items(files: DataFrame) -> DataFrame:
 def score_outputs(wanted: DataFrame, outputs: DataFrame, rows: DataFrame) -> DataFrame:
     """Scores of stored outputs (stem and envelope) against labels; a workbook without rows has its cell scores at 0."""
     items = outputs.select("stem", "format", F.posexplode("plis").alias("ord", "item")).select("stem", "format", "ord", "item.*")
-    items = items.withColumn("stage_names", F.coalesce(F.transform("stages", lambda s: s["name"]), F.array().cast("array<string>")))
+    items = label_files.plain(items).withColumn("stage_names", F.coalesce(F.transform("stages", lambda s: s["name"]), F.array().cast("array<string>")))
     cells = xlsx.cells(rows).withColumn("stem", xlsx.stem(F.col("workbook_id")))
     read = rows.select(xlsx.stem(F.col("workbook_id")).alias("stem"), "workbook_id").distinct()
     where = items.join(read, "stem", "left").select("*", F.col("source.sheet").alias("sheet"), F.col("source.cells").alias("cells"), F.col("ord").alias("number"))

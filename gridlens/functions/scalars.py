@@ -79,6 +79,39 @@ def cell_dtype(value: Column) -> Column:
     )
 
 
+def typed_values(texts: Column, kinds: Column) -> Column:
+    """A map of texts as variants: numbers and booleans by their kinds, all else as text, dates too."""
+
+    def one(name: Column, text: Column) -> Column:
+        kind = F.try_element_at(kinds, name)
+        number = F.when(kind == "int", F.try_parse_json(text)).when(kind == "float", text.try_cast("double").cast("variant")).when(kind == "bool", (text == "True").cast("variant"))
+        return F.coalesce(number, text.cast("variant"))
+
+    return F.transform_values(texts, one)
+
+
+def kinds_of(typed: Column) -> Column:
+    """The kinds of a map of variants; a text that shows a day and a time of day is a date."""
+
+    def one(_: Column, value: Column) -> Column:
+        schema = F.schema_of_variant(value)
+        text = F.when(value.cast("string").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), "date").otherwise("str")
+        return F.when(schema == "BIGINT", "int").when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float").when(schema == "BOOLEAN", "bool").when(schema == "STRING", text).otherwise("str")
+
+    return F.transform_values(typed, one)
+
+
+def texts_of(typed: Column) -> Column:
+    """The texts of a map of variants, as cells show them."""
+
+    def one(_: Column, value: Column) -> Column:
+        schema = F.schema_of_variant(value)
+        real = F.when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), value.cast("double").cast("string"))
+        return F.coalesce(real, F.when(schema == "BOOLEAN", F.initcap(value.cast("string"))), value.cast("string"))
+
+    return F.transform_values(typed, one)
+
+
 def severity(value: Column) -> Column:
     """Finding severities as warning severities."""
     return F.when(value == "warn", "warning").otherwise(value)

@@ -72,12 +72,12 @@ def routed(values: DataFrame) -> DataFrame:
 
 
 def fold(values: DataFrame, key: list[str], every: DataFrame | None = None) -> DataFrame:
-    """One row an item: its fields, metadata, confidence and source cells; the last value in `ord` wins a name.
+    """One row an item: its fields, metadata, the kinds of its metadata, confidence and source cells; the last value in `ord` wins a name.
 
     What a field could not take stands in the metadata beside an earlier value that it could. `every` holds the keys of
     all items, those without a value too.
     """
-    parts = F.struct("ord", "canonical", "is_field", "as_text", "as_int", "as_date", "sval", "confidence", "addr")
+    parts = F.struct("ord", "canonical", "is_field", "as_text", "as_int", "as_date", "sval", "dtype", "confidence", "addr")
     gathered = values.groupBy(*key).agg(F.array_sort(F.collect_list(parts)).alias("v"))
     if every is not None:
         gathered = every.join(gathered, key, "left").withColumn("v", F.coalesce("v", F.filter(F.array(F.lit(None).cast(gathered.schema["v"].dataType.elementType)), lambda x: x.isNotNull())))
@@ -87,13 +87,14 @@ def fold(values: DataFrame, key: list[str], every: DataFrame | None = None) -> D
     last = lambda items: F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda y: y["canonical"] == x["canonical"]))
     pairs = lambda items, value: F.map_from_entries(F.array_sort(F.transform(items, lambda x: F.struct(x["canonical"], x[value]))))
     items = gathered.withColumns({"_all": last(F.col("v")), "_rest": F.filter("v", lambda x: ~x["is_field"])}).withColumn("_rest", last(F.col("_rest")))
-    return promoted(items.select(*key, *[of(n).alias(n) for n in vocab.ITEM_FIELDS], pairs(F.col("_rest"), "sval").alias("metadata"), pairs(F.col("_all"), "confidence").alias("confidence"), pairs(F.col("_all"), "addr").alias("cells")))
+    return promoted(items.select(*key, *[of(n).alias(n) for n in vocab.ITEM_FIELDS], pairs(F.col("_rest"), "sval").alias("metadata"), pairs(F.col("_rest"), "dtype").alias("metadata_kinds"), pairs(F.col("_all"), "confidence").alias("confidence"), pairs(F.col("_all"), "addr").alias("cells")))
 
 
 def promoted(items: DataFrame) -> DataFrame:
     """An item without io_number takes its metadata's buyer_po_no."""
     spare = F.when(F.col("io_number").isNull(), F.try_element_at("metadata", F.lit("buyer_po_no")))
-    return items.withColumns({"io_number": F.coalesce("io_number", spare), "metadata": F.when(spare.isNotNull(), F.map_filter("metadata", lambda k, _: k != "buyer_po_no")).otherwise(F.col("metadata"))})
+    rest = lambda name: F.when(spare.isNotNull(), F.map_filter(name, lambda k, _: k != "buyer_po_no")).otherwise(F.col(name))
+    return items.withColumns({"io_number": F.coalesce("io_number", spare), **{c: rest(c) for c in ("metadata", "metadata_kinds") if c in items.columns}})
 
 
 def item_rows(roles: DataFrame) -> DataFrame:

@@ -306,6 +306,22 @@ def test_labels_and_stored_outputs(spark, tmp_path):
     assert [r.asDict(True) for r in again] == [r.asDict(True) for r in got]
 
 
+def test_metadata_keeps_its_types_in_stored_outputs(spark, tmp_path):
+    from gridlens.sources import labels
+
+    texts = {"count": "7", "code": "7", "share": "7.0", "big": "1e+16", "done": "True", "day": "2024-03-01 00:00:00", "odd": "not 7", "none": None}
+    kinds = {"count": "int", "code": "str", "share": "float", "big": "float", "done": "bool", "day": "date", "odd": "int"}
+    held = spark.createDataFrame([(texts, kinds)], "metadata map<string,string>, metadata_kinds map<string,string>")
+    empty = F.from_json(F.lit("{}"), labels.ITEM.replace("map<string,variant>", "map<string,string>"))
+    item = held.select(F.array(empty.withField("metadata", scalars.typed_values(F.col("metadata"), F.col("metadata_kinds")))).alias("plis"), F.lit("a").alias("stem"))
+    labels.save(item, f"file://{tmp_path}/out")
+    text = next((tmp_path / "out" / "stem=a").glob("*.json")).read_text()
+    assert '"count":7,' in text and '"code":"7"' in text and '"share":7.0' in text and '"done":true' in text
+    got = labels.items(labels.stored(spark, f"file://{tmp_path}/out")).first()
+    shown = {k: v for k, v in texts.items() if v is not None} | {"big": "1.0E16"}
+    assert got["metadata"] == shown and got["metadata_kinds"] == {**kinds, "odd": "str"}
+
+
 def test_tools_by_name():
     from gridlens.operators.registry import TOOLS
 
