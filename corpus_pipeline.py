@@ -44,15 +44,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest doc_id, nulls last.
+    """One row of each group of near-duplicates: the one with the smallest doc_id, nulls last; of rows equal in doc_id and text, one.
 
-    Groups are of rows, not of ids: rows are numbered first, so those without a doc_id, or that share one, are told apart.
+    Groups are of rows, not of ids: a row is known by its doc_id and its text's digest, so rows without a doc_id, or that
+    share one, are told apart. Rows without words stay.
     """
-    numbered = stored(_slim(docs).withColumn("_row", F.monotonically_increasing_id()))
-    groups = jaccard.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    firsts = numbered.select("doc_id", "_row").join(groups, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
-    return _rows(numbered.join(firsts, "_row", "left_semi"), docs)
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_digest": F.concat_ws(":", F.length("text"), F.md5("text"))}
+    rows = jaccard.labelled(docs.select("doc_id", "text", *[v.alias(k) for k, v in keys.items()]), keep=tuple(keys))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_digest", "_id")).alias("f")
+    kept = rows.where("root is not null").groupBy("root").agg(first).select("f._id", "f._digest").unionByName(rows.where("root is null").select("_id", "_digest"))
+    return _rows(_slim(docs).withColumns(keys).join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]), docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
