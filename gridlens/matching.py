@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from gridlens.session import stored
 
-BLOCK = 1 << 18
+BLOCK, BUCKET = 1 << 18, 1 << 16
 
 
 def scan(labels: list[tuple], items: list[tuple]) -> list[tuple]:
@@ -71,16 +71,25 @@ def greedy(labels: DataFrame, items: DataFrame, group: list[str], block: int = B
     kinds = labels.select(*group, "_l").schema.fields + items.select("_i").schema.fields
     schema = StructType([StructField(f.name, f.dataType) for f in kinds])
 
-    def match(key: tuple, asked: pa.Table, free: pa.Table) -> pa.Table:
-        rows = lambda t, number: list(zip(*(t.sort_by(number).column(c).to_pylist() for c in (number, "_k1", "_k2")), strict=True))
-        pairs = scan(rows(asked, "_l"), rows(free, "_i")) if asked.num_rows and free.num_rows else []
-        head = [k.as_py() for k in key]
-        columns = [*[[h] * len(pairs) for h in head], [p[0] for p in pairs], [p[1] for p in pairs]]
-        types = [*[k.type for k in key], asked.schema.field("_l").type, free.schema.field("_i").type]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
+    size = len(group)
+
+    def grouped(table: pa.Table, number: str) -> dict[tuple, list[tuple]]:
+        ordered, out = table.sort_by(number), {}
+        for row in zip(*(ordered.column(c).to_pylist() for c in (*group, number, "_k1", "_k2")), strict=True):
+            out.setdefault(row[:size], []).append(row[size:])
+        return out
+
+    def match(asked: pa.Table, free: pa.Table) -> pa.Table:
+        own = grouped(free, "_i")
+        rows = [(*key, *pair) for key, held in grouped(asked, "_l").items() if key in own for pair in scan(held, own[key])]
+        types = [*[asked.schema.field(g).type for g in group], asked.schema.field("_l").type, free.schema.field("_i").type]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)], schema.names)
 
     numbered = stored(labels.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy("_l")) - 1) / block)))
-    last = numbered.agg(F.max("_block")).first()[0]
+    last, total = numbered.agg(F.max("_block"), F.count(F.lit(1))).first()
+    # Groups go to Python by the bucket: many small ones at once, a large one with few others.
+    buckets = max(2 * int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // BUCKET))
+    bucket = F.pmod(F.xxhash64(*group), F.lit(buckets)).alias("_bucket")
     pairs = None
     for k in range(0 if last is None else last + 1):
         asked = numbered.where(F.col("_block") == k).drop("_block")
@@ -89,6 +98,6 @@ def greedy(labels: DataFrame, items: DataFrame, group: list[str], block: int = B
             free = items
         else:
             free = stored(free.join(pairs, [*group, "_i"], "left_anti"))
-        found = asked.groupBy(*group).cogroup(_candidates(free, asked, group).groupBy(*group)).applyInArrow(match, schema)
+        found = asked.groupBy(bucket).cogroup(_candidates(free, asked, group).groupBy(bucket)).applyInArrow(match, schema)
         pairs = stored(found) if pairs is None else stored(pairs.unionByName(found))
     return labels.sparkSession.createDataFrame([], schema) if pairs is None else pairs
