@@ -193,7 +193,7 @@ def link_counts(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             if hi - lo < 2 or number[lo] // words != left:
                 continue
             rows = holder[lo:hi]
-            earlier = None
+            before = None
             for i in range(0, len(rows), max(1, BLOCK // len(rows))):
                 block = rows[i : i + max(1, BLOCK // len(rows))]
                 near = vectors[block] @ vectors[rows].T
@@ -203,12 +203,10 @@ def link_counts(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                     close &= part[block][:, None] != part[rows][None, :]
                 if not close.any():
                     continue
-                if earlier is None:
-                    before = [lists[r][lists[r] < number[lo]] for r in rows]
-                    ids, at = np.unique(np.concatenate(before), return_inverse=True)
-                    earlier = np.zeros((len(rows), len(ids)), np.float32)
-                    earlier[np.repeat(np.arange(len(rows)), [len(x) for x in before]), at] = 1
-                close &= earlier[i : i + len(block)] @ earlier.T == 0  # pairs that share a smaller filter are counted there
+                if before is None:
+                    smaller = [lists[r][: np.searchsorted(lists[r], number[lo])] for r in rows]
+                    before = np.repeat(np.arange(len(rows)), [len(x) for x in smaller]), np.concatenate(smaller)
+                close &= ~_share(*before, i, len(block), len(rows))  # pairs that share a smaller filter are counted there
                 sure = close & (near >= cosine + doubt)
                 links[block] += sure @ n[rows]
                 a, b = np.nonzero(close & ~sure)
@@ -250,6 +248,28 @@ def link_counts(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     return met.where("other is null").select("name", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "name").alias("root")).unionByName(both)
 
 
+def _share(row: np.ndarray, number: np.ndarray, first: int, size: int, rows: int) -> np.ndarray:
+    """Which of `size` rows from `first` on share a number with which of all `rows`, for sorted (row, number).
+
+    Only the block's own numbers count, and they are laid out a bounded number of columns at a time.
+    """
+    lo, hi = np.searchsorted(row, [first, first + size])
+    own = np.unique(number[lo:hi])
+    shared = np.zeros((size, rows), bool)
+    if not len(own):
+        return shared
+    at = np.searchsorted(own, number)
+    held = own[np.minimum(at, len(own) - 1)] == number
+    row, at = row[held], at[held]
+    step = max(1, BLOCK // rows)
+    for k in range(0, len(own), step):
+        here = (at >= k) & (at < k + step)
+        laid = np.zeros((rows, min(step, len(own) - k)), np.float32)
+        laid[row[here], at[here] - k] = 1
+        shared |= laid[first : first + size] @ laid.T > 0
+    return shared
+
+
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of each node to the smallest of its component, for the links (a, b)."""
     if not len(a):

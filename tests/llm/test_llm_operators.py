@@ -452,7 +452,22 @@ def test_caps_against_brute_force(spark):
     assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_caps_splits_full_filters(spark, monkeypatch):
+@pytest.mark.parametrize("block", [64, 1 << 22])
+def test_caps_tells_pairs_with_a_smaller_filter(monkeypatch, block):
+    """Blocks against all rows, whatever the number of columns laid out at a time, are the plain intersections."""
+    monkeypatch.setattr(caps, "BLOCK", block)
+    draw = np.random.default_rng(5)
+    lists = [np.unique(draw.integers(0, 300, draw.integers(0, 9))) for _ in range(40)]
+    row, number = np.repeat(np.arange(40), [len(x) for x in lists]), np.concatenate(lists)
+    for first, size in ((0, 40), (0, 7), (33, 7)):
+        want = [[bool(set(lists[a].tolist()) & set(lists[b].tolist())) for b in range(40)] for a in range(first, first + size)]
+        assert caps._share(row, number, first, size, 40).tolist() == want
+    assert not caps._share(row[:0], number[:0], 0, 3, 40).any()
+
+
+@pytest.mark.parametrize("block", [512, 1 << 22])
+def test_caps_splits_full_filters(spark, monkeypatch, block):
+    monkeypatch.setattr(caps, "BLOCK", block)
     monkeypatch.setattr(caps, "CELL", 16)
     draw = np.random.default_rng(4)
     points = (np.ones((120, 8)) + 0.05 * draw.standard_normal((120, 8))).astype(np.float32)
