@@ -9,7 +9,7 @@ from gridlens.operators import apply, bands, extract, kv, naming, rows, survey
 from gridlens.operators import plan as planning
 from gridlens.plans.read_queries import GB, GK, GO
 from gridlens.plans.registry import registry
-from gridlens.plans.survey_queries import BOUNDS, KEYS, ROLES, order_roles
+from gridlens.plans.survey_queries import BOUNDS, KEYS, ROLES, SECTION_BOUNDS, order_roles
 from gridlens.session import table
 from gridlens.sources import grids
 
@@ -117,6 +117,23 @@ def extract_key_sheets(spark, sf):
     return items.select("sheet", "mode", "io_number", "style_code", "fabric_code", "quantity", F.try_element_at("cells", F.lit("io_number")).alias("io_cell"))
 
 
+def _section_results(spark, sf, part):
+    """Items or warnings of the whole flow where a block is an item, made once."""
+
+    def make():
+        return getattr(extract.extract(grids.cells(spark, sf, "sections"), grids.merges(spark, sf).where("false")), part)
+
+    return grids.kept(spark, sf, f"section results {part}", make, "supplier")
+
+
+@query(f"""{SECTION_BOUNDS}, {KEYS}, vals as (select b.sheet, b.block_id, k.raw, v.sval, v.nval from bounds b join keys k on k.sheet = b.sheet and k.r between b."start" and b."end" join cells v on v.sheet = k.sheet and v.r = k.r and v.c = 3)
+ select b.sheet, 'section' as mode, b.block_id as item, max(case when raw = 'Qty' then cast(nval as bigint) end) as quantity, max(case when raw = 'Style' then sval end) as style_code, b."end" - b."start" + 1 as n_rows
+ from bounds b left join vals v on v.sheet = b.sheet and v.block_id = b.block_id group by b.sheet, b.block_id, b."start", b."end" """)
+def extract_sections(spark, sf):
+    items = _section_results(spark, sf, "items")
+    return items.select("sheet", "mode", "item", "quantity", F.coalesce("style_code", "style_name").alias("style_code"), F.size("rows").alias("n_rows"))
+
+
 @query(f"""{BOUNDS}, {KEYS}, vals as (select b.sheet, b.block_id, k.raw, v.sval, v.nval from bounds b join keys k on k.sheet = b.sheet and k.r between b."start" and b."end" join cells v on v.sheet = k.sheet and v.r = k.r and v.c = 3)
  select sheet, block_id, max(case when raw = 'Qty' then cast(nval as bigint) end) as quantity, max(case when raw = 'Style' then sval end) as style_code from vals group by sheet, block_id""")
 def items_section(spark, sf):

@@ -16,6 +16,7 @@ GOM = f"{GO}, {grids.merges_sql()}"
 GK = f"with {grids.cells_sql('customers')}"
 GB = f"with {grids.cells_sql('bands')}"
 GS = f"with {grids.cells_sql('blocks')}"
+GX = f"with {grids.cells_sql('sections')}"
 _A1 = "chr(cast(64 + c as int)) || cast(r as varchar)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlens.functions import vocab
 from gridlens.operators import kv, rows, survey
 from gridlens.operators import plan as planning
-from gridlens.plans.read_queries import GB, GK, GO, GOM, GS
+from gridlens.plans.read_queries import GB, GK, GO, GOM, GS, GX
 from gridlens.plans.registry import registry
 from gridlens.sources import grids
 
@@ -148,8 +148,11 @@ def plan_key_sheets(spark, sf):
 
 
 #: Anchors of the block grid: cells of column A.
-ANCHORS = "anchors as (select sheet, r, lead(r) over (partition by sheet order by r) as nxt, row_number() over (partition by sheet order by r) - 1 as block_id from cells where c = 1)"
-BOUNDS = f"""{GS}, {GAPS}, {ANCHORS}, bounds as (select a.sheet, a.block_id, a.r as "start", coalesce(min(g.g_start) - 1, any_value(a.nxt) - 1, a.r) as "end" from anchors a left join gaps g on g.sheet = a.sheet and g.g_start >= a.r and (a.nxt is null or g.g_start <= a.nxt - 1) group by a.sheet, a.block_id, a.r)"""
+_ANCHORS = "anchors as (select sheet, r, lead(r) over (partition by sheet order by r) as nxt, row_number() over (partition by sheet order by r) - 1 as block_id from cells where c = 1 {})"
+_BOUNDS = """bounds as (select a.sheet, a.block_id, a.r as "start", coalesce(min(g.g_start) - 1, any_value(a.nxt) - 1, a.r) as "end" from anchors a left join gaps g on g.sheet = a.sheet and g.g_start >= a.r and (a.nxt is null or g.g_start <= a.nxt - 1) group by a.sheet, a.block_id, a.r)"""
+BOUNDS = f"{GS}, {GAPS}, {_ANCHORS.format('')}, {_BOUNDS}"
+#: Under the header of a section sheet all of column A is anchors.
+SECTION_BOUNDS = f"{GX}, {GAPS}, {_ANCHORS.format('and r > 1')}, {_BOUNDS}"
 
 
 def _blocks(spark, sf):
@@ -166,3 +169,15 @@ def block_bounds(spark, sf):
 def block_members(spark, sf):
     cells, found = _blocks(spark, sf)
     return kv.block_members(found, kv.key_values(cells)).select("sheet", F.col("block_id").cast("long").alias("block_id"), "label", "value_cell")
+
+
+@query(_modes(GX))
+def mode_of_section_sheets(spark, sf):
+    return survey.modes(grids.cells(spark, sf, "sections")).select(*_MODE_COLUMNS)
+
+
+@query(f"{SECTION_BOUNDS} select sheet, 'section' as mode, 1 as id_col, 0.9 as confidence, count(*) as n_rows, 0 as n_labels, 0 as n_keys, count(*) as n_blocks, 0 as n_bands from bounds group by sheet")
+def plan_sections(spark, sf):
+    """Plans of sheets whose blocks are items."""
+    cells = grids.cells(spark, sf, "sections")
+    return planning.summary(planning.plan_sheets(cells, grids.merges(spark, sf).where("false"))).drop("workbook_id")

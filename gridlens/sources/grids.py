@@ -109,7 +109,12 @@ _GS_CELLS = "\n union all ".join(
     [_number(_BLOCK_SHEET, 1, "s", "", "gs0"), _text(_BLOCK_SHEET, 2, "'Qty'", "", "gs1"), _number(_BLOCK_SHEET, 3, "bal", "", "gs1"), _text(_BLOCK_SHEET, 2, "'Style'", "", "gs2"), _text(_BLOCK_SHEET, 3, "'S' || cast(s as string)", "", "gs2")]
 )
 
-_GRIDS = {"orders": (_ORDER_ROWS, _GO_CELLS, "orders lineitem"), "customers": (_GK_ROWS, _GK_CELLS, "customer nation"), "bands": (_GB_ROWS, _GB_CELLS, "lineitem"), "blocks": (_GS_ROWS, _GS_CELLS, "supplier")}
+#: The same blocks under an identity header, which makes them items of their own; a workbook holds ten sheets.
+_SECTION_SHEET = "'sections ' || cast(cast(floor(n / 10) as bigint) as string) as workbook_id, 'N' || cast(n as string) as sheet"
+_SECTION_CELLS = _GS_CELLS.replace(_BLOCK_SHEET, _SECTION_SHEET) + "\n union all " + _text(_SECTION_SHEET, 1, "'IO NO'", "", "gs_heads")
+
+_GRIDS = {"orders": (_ORDER_ROWS, _GO_CELLS, "orders lineitem"), "customers": (_GK_ROWS, _GK_CELLS, "customer nation"), "bands": (_GB_ROWS, _GB_CELLS, "lineitem"), "blocks": (_GS_ROWS, _GS_CELLS, "supplier"),
+    "sections": (_GS_ROWS + ", gs_heads as (select distinct n, 1 as r from gs)", _SECTION_CELLS, "supplier")}
 #: Merged regions of the order grid: the identity cell over all lines of an order with two lines or more.
 _MERGES = f"select {_SHEET}, min(r) as r1, 1 as c1, max(r) as r2, 1 as c2 from go_rows where kind = 1 group by cust, ord having count(*) > 1"
 
@@ -154,7 +159,7 @@ def release(spark: SparkSession) -> None:
 
 
 def cells(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The cells of one of the grids: orders, customers, bands or blocks."""
+    """The cells of one of the grids: orders, customers, bands, blocks or sections."""
     return kept(spark, sf_dir, f"cells {name}", lambda: _query(spark, sf_dir, name, _INLINE.get(name, _GRIDS[name][1])), _GRIDS[name][2])
 
 

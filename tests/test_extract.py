@@ -139,6 +139,19 @@ def test_warnings_and_results(results):
     assert (books["title"]["format"], books["title"]["n_items"], books["title"]["confidence"]) == (None, 0, None)
     whole = {r["workbook_id"]: r for r in extract.envelopes(results).collect()}
     assert [p["io_number"] for p in whole["merges"]["plis"]] == ["1063"] * 3 + ["1064"] * 2 and whole["title"]["plis"] == []
+    dropped = [m.split("'")[1] for m in whole["simple"]["warnings"] if "populated in" in m]
+    assert len(dropped) >= 2 and dropped == [f for f in vocab.TRACKED if f in dropped]
+
+
+def test_warnings_stand_in_order(spark):
+    """Sheets in their order, then check by check; after them items, check by check through all sheets."""
+    schema = "workbook_id string, sheet string, check string, severity string, message string, item int, field string, at long, part int"
+    one = lambda sheet, message, at, part, field=None: ("w", sheet, None, "warn", message, None, field, at, part)
+    plans = spark.createDataFrame([one("a", "5", 9, 0), one("b", "2", 7, 1), one("a", "6", 1, 100), one("b", "1", 30, 0), one("a", "4", 8, 0), one("b", "3", None, 100)], schema)
+    tests = spark.createDataFrame([one("b", "8", 1, 200, "x"), one("a", "9", 12, 200, "x"), one("a", "7", 1, 200, "c"), one("a", "10", 0, 201)], schema)
+    sheets = spark.createDataFrame([("w", "b", 0), ("w", "a", 1)], "workbook_id string, sheet string, sheet_ord int")
+    told = findings.as_warnings(plans, sheets).unionByName(findings.as_warnings(tests))
+    assert [r["message"] for r in told.orderBy("place").collect()] == [str(k) for k in range(1, 11)]
 
 
 def test_findings_of_plans(spark, grid, results):
