@@ -4,6 +4,7 @@ import pytest
 
 from gridlens.functions.scalars import norm
 from gridlens.operators import bands, check, read, rows, survey
+from gridlens.plans.apply_queries import _bands
 from gridlens.plans.survey_queries import order_roles
 from gridlens.sources import grids
 
@@ -51,3 +52,28 @@ def test_buckets_grow_with_the_input(spark, monkeypatch):
 def test_texts_of_any_white_space_are_normed(spark):
     rows_ = spark.createDataFrame([(" IO  No\t",), ("P12",), ("ÉX fac",), (None,), ("",)], "t string")
     assert [r[0] for r in rows_.select(norm(rows_["t"])).collect()] == ["io no", "p12", "éx fac", None, ""]
+
+
+def test_blank_runs_shuffle_no_rows(spark, planned):
+    assert "Exchange" not in planned(survey.blank_gaps(grids.cells(spark, SF, "orders")))
+
+
+def test_blank_runs_reach_to_the_end_of_the_extent(spark):
+    cells = spark.createDataFrame([("w", "s", 2), ("w", "s", 5), ("w", "t", 1)], "workbook_id string, sheet string, r int")
+    extents = spark.createDataFrame([("w", "s", 7), ("w", "t", 1), ("w", "u", 2)], "workbook_id string, sheet string, max_row int")
+    found = lambda df: sorted(tuple(x) for x in df.select("sheet", "g_start", "g_end").collect())
+    assert found(survey.blank_gaps(cells, extents)) == [("s", 1, 1), ("s", 3, 4), ("s", 6, 7), ("u", 1, 2)]
+    assert found(survey.blank_gaps(cells)) == [("s", 1, 1), ("s", 3, 4)]
+
+
+def test_lines_of_bands_are_shuffled_once(spark, planned):
+    cells = grids._query(spark, SF, "bands", grids._INLINE["bands"])
+    assert planned(cells.repartition(grids.buckets(spark, SF), "workbook_id", "sheet")).count("Exchange") == 1
+
+
+def test_grids_without_regions_are_not_looked_through(spark, planned):
+    grids.release(spark)
+    cells, none, _ = _bands(spark, SF)
+    assert not [k for k in grids._KEPT if k[2] in ("merges", "order lines")]
+    places = cells.select("workbook_id", "sheet", "r", "c")
+    assert "Window" not in planned(read.look(cells, none, places))
