@@ -3,8 +3,9 @@
 import pytest
 
 from gridlens.functions.scalars import norm
-from gridlens.operators import bands, check, read, rows, survey
+from gridlens.operators import apply, bands, check, read, rows, survey
 from gridlens.plans.apply_queries import _bands
+from gridlens.plans.check_queries import _fields
 from gridlens.plans.survey_queries import order_roles
 from gridlens.sources import grids
 
@@ -66,6 +67,22 @@ def test_blank_runs_reach_to_the_end_of_the_extent(spark):
     assert found(survey.blank_gaps(cells)) == [("s", 1, 1), ("s", 3, 4)]
 
 
+def test_fields_of_items_stay_in_their_buckets(spark, planned):
+    fields, cells = _fields(spark, SF), grids.cells(spark, SF, "orders")
+    assert "Exchange" not in planned(check.source_cells(fields, cells))
+    assert "Exchange" not in planned(fields.groupBy("workbook_id", "sheet", "field").count())
+
+
+def test_a_repeated_name_keeps_its_last_value(spark):
+    kind = "k int, ord int, canonical string, is_field boolean, as_text string, as_int bigint, as_date date, sval string, dtype string, confidence double, addr string"
+    values = [(1, 1, "io_number", True, "a", None, None, "a", "str", 0.9, "A1"), (1, 3, "io_number", True, "b", None, None, "b", "str", 0.8, "A3"), (1, 2, "note", False, "x", None, None, "x", "str", 0.5, "B1"), (1, 4, "note", False, "y", None, None, None, "str", 0.5, "B2"), (2, 1, "quantity", True, None, 7, None, "7", "int", 0.9, "C1"), (2, 2, "quantity", False, None, None, None, "?", "str", 0.5, "C2")]
+    every = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    one, two, three = apply.fold(spark.createDataFrame(values, kind), ["k"], every).orderBy("k").collect()
+    assert (one.io_number, one.metadata, one.cells) == ("b", {"note": None}, {"io_number": "A3", "note": "B2"})
+    assert (two.quantity, two.metadata, two.metadata_kinds, two.cells) == (7, {"quantity": "?"}, {"quantity": "str"}, {"quantity": "C2"})
+    assert (three.io_number, three.metadata, three.cells) == (None, {}, {})
+
+
 def test_lines_of_bands_are_shuffled_once(spark, planned):
     cells = grids._query(spark, SF, "bands", grids._INLINE["bands"])
     assert planned(cells.repartition(grids.buckets(spark, SF), "workbook_id", "sheet")).count("Exchange") == 1
