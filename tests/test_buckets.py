@@ -5,6 +5,7 @@ import pytest
 from gridlens.functions.scalars import norm
 from gridlens.operators import apply, bands, check, read, rows, survey
 from gridlens.plans.apply_queries import _bands
+from gridlens.plans.catalog import queries
 from gridlens.plans.check_queries import _fields
 from gridlens.plans.survey_queries import order_roles
 from gridlens.sources import grids
@@ -94,3 +95,7 @@ def test_grids_without_regions_are_not_looked_through(spark, planned):
     assert not [k for k in grids._KEPT if k[2] in ("merges", "order lines")]
     places = cells.select("workbook_id", "sheet", "r", "c")
     assert "Window" not in planned(read.look(cells, none, places))
+
+
+def test_lateral_calls_shuffle_no_cells(spark, planned):
+    assert "Exchange" not in planned(queries()["sql_merged_and_beside"](spark, SF))
