@@ -42,6 +42,8 @@ from gridlens.llm.textvec import LOWER, NOT_SPACE, Runs, flat_bytes, mix, slices
 
 WORDS, PERCENT = 5, 75
 HOT, POSTINGS, PART = 4096, 2_000_000, 1 << 17
+#: Pairs of a bucket that are held before they go on, and buckets of asking classes for each bucket of postings.
+PAIRS, ASKS = 1 << 20, 4
 #: How much dearer it is to merge a list than to probe it, for each doubling of the longest list.
 PROBE_COST = 0.0085
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64))
@@ -182,8 +184,8 @@ class Plan:
         self.held = np.array([hot[h] for h in sorted(hot)], np.int64)
         self.clashing = np.array(sorted(clashing), np.int64).view(np.uint64)
 
-    def bucket(self, values: np.ndarray) -> np.ndarray:
-        return ((values >> np.uint64(33)).astype(np.int64) % self.buckets).astype(np.int32)
+    def bucket(self, values: np.ndarray, times: int = 1) -> np.ndarray:
+        return ((values >> np.uint64(33)).astype(np.int64) % (times * self.buckets)).astype(np.int32)
 
     def held_by(self, shingle: np.ndarray) -> np.ndarray:
         """The postings of hot lists, 0 for others."""
@@ -263,6 +265,36 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(keys, prepend=keys[:1] + keys.dtype.type(1))), len(keys)) if len(keys) else np.zeros(1, np.int64)
 
 
+def _possible(asking: np.ndarray | int, found: np.ndarray, size: np.ndarray, lone: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Whether neither the sizes nor the lists shared with anyone rule a pair out; these tests are the same on every list."""
+    most = np.minimum(size[asking] - lone[asking], size[found] - lone[found])
+    good = (percent * np.maximum(size[asking], size[found]) <= 100 * np.minimum(size[asking], size[found])) & ((side[asking] < 0) | (side[asking] != side[found]))
+    return good & ((100 + percent) * most >= percent * (size[asking] + size[found]))
+
+
+def unlike(root: np.ndarray, size: np.ndarray, lone: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(asking, found): the possible pairs on one list of each class outside its largest component with classes of other components; of two such, once.
+
+    A list may hold many classes of components of their own, so its pairs are not laid out to be tested: a class is
+    held against those of sizes like its own, and only what passes is kept.
+    """
+    ids, count = np.unique(root, return_counts=True)
+    largest = ids[count.argmax()]
+    by_size = np.argsort(size, kind="stable")
+    ranked = size[by_size]
+    low = np.searchsorted(ranked, -(-percent * size // 100), "left")
+    high = np.searchsorted(ranked, 100 * size // percent, "right")
+    asking, found = [], []
+    for o in np.flatnonzero(root != largest).tolist():
+        other = by_size[low[o] : high[o]]
+        other = other[(root[other] != root[o]) & ((root[other] == largest) | (other > o))]
+        other = other[_possible(o, other, size, lone, side, percent)]
+        if len(other):
+            asking.append(np.full(len(other), o))
+            found.append(other)
+    return (np.concatenate(asking), np.concatenate(found)) if asking else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 _POST = "bucket int, list binary, name binary, root binary, size binary, lone binary, part binary"
 _ASKED = "bucket int, asks binary, size binary, held binary, found binary, sizes binary"
 
@@ -301,27 +333,19 @@ def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, perce
 
     def met(name: np.ndarray, root: np.ndarray, size: np.ndarray, lone: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the asking class, place of a class found) on one list, which is in order of names."""
-        if not across:
+        if across:
+            asking, found = unlike(root, size, lone, side, percent)
+        else:
             head = int(np.lexsort((name, lone))[0])
             asking, found = np.delete(np.arange(len(name)), head), np.full(len(name) - 1, head)
-        else:
-            ids, count = np.unique(root, return_counts=True)
-            largest = ids[count.argmax()]
-            # Each pair with a class outside the largest component; of two such, once.
-            pairs = []
-            for o in np.flatnonzero(root != largest).tolist():
-                other = np.flatnonzero((root != root[o]) & ((root == largest) | (np.arange(len(name)) > o)))
-                pairs.append((np.full(len(other), o), other))
-            asking, found = (np.concatenate(c) for c in zip(*pairs, strict=True))
-        # Neither the sizes nor the lists shared with anyone may rule a pair out; these tests are the same on every list.
-        most = np.minimum(size[asking] - lone[asking], size[found] - lone[found])
-        good = (percent * np.maximum(size[asking], size[found]) <= 100 * np.minimum(size[asking], size[found])) & ((side[asking] < 0) | (side[asking] != side[found]))
-        good &= (100 + percent) * most >= percent * (size[asking] + size[found])
-        asking, found = np.minimum(asking, found)[good], np.maximum(asking, found)[good]
+            good = _possible(asking, found, size, lone, side, percent)
+            asking, found = asking[good], found[good]
+        asking, found = np.minimum(asking, found), np.maximum(asking, found)
         order = np.lexsort((found, asking))
         return asking[order], found[order]
 
-    def ask(table: pa.Table) -> pa.Table:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         key = _column(table, "list", np.uint64)
         name, root, size, lone, side = (_column(table, c, np.int64) for c in ("name", "root", "size", "lone", "part"))
         order = np.lexsort((name, key))
@@ -332,29 +356,34 @@ def search(classes: DataFrame, plan: Plan, roots: DataFrame | None = None, perce
         edges = _runs(key)
         first = np.repeat(edges[:-1], np.diff(edges))
         mixed = np.add.reduceat((root != root[first]).astype(np.int64), edges[:-1]) > 0 if len(key) else np.zeros(0, bool)
-        asks, found, sizes, held = [], [], [], []
+        asks, found, held, pairs = [], [], [], 0
         for lo, hi in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
             q, p = met(name[lo:hi], root[lo:hi], size[lo:hi], lone[lo:hi], side[lo:hi])
             if len(q):
                 runs = _runs(q)
                 asks.append(lo + q[runs[:-1]])
                 held.append(np.diff(runs))
-                found.append(name[lo + p])
-                sizes.append(size[lo + p])
-        columns = [f.split()[0] for f in _ASKED.split(", ")]
-        if not asks:
-            return pa.table([pa.array([], pa.int32())] + [pa.array([], pa.binary())] * 5, columns)
-        at, held, found, sizes = np.concatenate(asks), np.concatenate(held), np.concatenate(found), np.concatenate(sizes)
-        bucket = plan.bucket(mix(name[at].view(np.uint64)))
+                found.append(lo + p)
+                pairs += len(p)
+            if pairs >= PAIRS:  # A bucket's pairs leave by and by; how many they are depends on its lists.
+                yield packed(name, size, asks, held, found)
+                asks, found, held, pairs = [], [], [], 0
+        if asks:
+            yield packed(name, size, asks, held, found)
+
+    def packed(name: np.ndarray, size: np.ndarray, asks: list[np.ndarray], held: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+        """Asking classes with the classes found on a list each, by bucket of the asking class."""
+        at, held, found = np.concatenate(asks), np.concatenate(held), np.concatenate(found)
+        bucket = plan.bucket(mix(name[at].view(np.uint64)), ASKS)
         order = np.argsort(bucket, kind="stable")
         start = np.cumsum(held) - held
         edges = _runs(bucket[order])
         rows = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             o = order[lo:hi]
-            take = np.repeat(start[o] - (np.cumsum(held[o]) - held[o]), held[o]) + np.arange(int(held[o].sum()))
-            rows.append((int(bucket[o[0]]), name[at[o]].tobytes(), size[at[o]].tobytes(), held[o].tobytes(), found[take].tobytes(), sizes[take].tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], columns)
+            take = found[np.repeat(start[o] - (np.cumsum(held[o]) - held[o]), held[o]) + np.arange(int(held[o].sum()))]
+            rows.append((int(bucket[o[0]]), name[at[o]].tobytes(), size[at[o]].tobytes(), held[o].tobytes(), name[take].tobytes(), size[take].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], [f.split()[0] for f in _ASKED.split(", ")])
 
     def merge(table: pa.Table) -> pa.Table:
         """Heap-merges the short lists of each asking class and keeps who stands on enough of them."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -531,6 +532,35 @@ def brute_components(texts):
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
+def test_pairs_of_one_list_are_found_without_laying_out_all():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 60):
+        size = rng.integers(5, 60, n)
+        root, lone, side = rng.integers(0, max(1, n // 3), n), rng.integers(0, 4, n), rng.integers(-1, 3, n)
+        ids, count = np.unique(root, return_counts=True)
+        largest = ids[count.argmax()]
+        alike = lambda i, j: 75 * max(size[i], size[j]) <= 100 * min(size[i], size[j]) and 175 * min(size[i] - lone[i], size[j] - lone[j]) >= 75 * (size[i] + size[j]) and (side[i] < 0 or side[i] != side[j])
+        want = {(i, j) for i in range(n) for j in range(n) if root[i] != largest and root[j] != root[i] and (root[j] == largest or j > i) and alike(i, j)}
+        asking, found = jaccard.unlike(root, size, lone, side)
+        assert len(asking) == len(want) and set(zip(asking.tolist(), found.tolist(), strict=True)) == want
+    size = np.arange(1, 4001) ** 3  # eight million pairs, few of them alike in size
+    none = np.zeros(len(size), np.int64)
+    tracemalloc.start()
+    asking, _ = jaccard.unlike(np.arange(len(size)), size, none, none - 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(asking) > 0 and most < 40 * len(asking) + 4_000_000
+
+
+def test_pairs_that_leave_by_and_by_are_the_same(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(3)
+    texts = [" ".join(words[i % 7 : 34] + [rng.choice(words) for _ in range(3)]) for i in range(60)]
+    once = rows(jaccard.near_duplicates(documents(spark, texts)))
+    monkeypatch.setattr(jaccard, "PAIRS", 2)
+    assert rows(jaccard.near_duplicates(documents(spark, texts))) == once and len({r["component_id"] for r in once.values()}) < 60
+
+
 def test_jaccard_against_brute_force(spark, none, monkeypatch):
     texts = [*ODD, *prose(6, 250), "A b c", "a  B\nC"]
     got = rows(jaccard.near_duplicates(documents(spark, texts)))
