@@ -99,3 +99,8 @@ def test_grids_without_regions_are_not_looked_through(spark, planned):
 
 def test_lateral_calls_shuffle_no_cells(spark, planned):
     assert "Exchange" not in planned(queries()["sql_merged_and_beside"](spark, SF))
+
+
+def test_rows_with_faults_stay_in_their_buckets(spark, planned):
+    for name in ("plan_findings", "chk_reference", "chk_unique", "chk_header"):
+        assert "Exchange" not in planned(queries()[name](spark, SF))
