@@ -104,3 +104,7 @@ def test_lateral_calls_shuffle_no_cells(spark, planned):
 def test_rows_with_faults_stay_in_their_buckets(spark, planned):
     for name in ("plan_findings", "chk_reference", "chk_unique", "chk_header"):
         assert "Exchange" not in planned(queries()[name](spark, SF))
+
+
+def test_labels_sort_no_texts(spark, planned):
+    assert "SortMergeJoin" not in planned(apply.header_labels(grids.cells(spark, SF, "orders"), order_roles(spark, SF)))
