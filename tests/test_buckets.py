@@ -106,5 +106,21 @@ def test_rows_with_faults_stay_in_their_buckets(spark, planned):
         assert "Exchange" not in planned(queries()[name](spark, SF))
 
 
+def test_places_under_regions_are_shuffled_once(spark, planned):
+    text = planned(queries()["merge_lookup"](spark, SF))
+    assert text.count("Exchange hashpartitioning") == 1
+    assert all("value" not in line or "ShuffledHashJoin" in line for line in text.splitlines() if "Join" in line and "r1#" in line)
+
+
 def test_labels_sort_no_texts(spark, planned):
     assert "SortMergeJoin" not in planned(apply.header_labels(grids.cells(spark, SF, "orders"), order_roles(spark, SF)))
+
+
+def test_places_asked_twice_are_answered_twice(spark):
+    """Repeats keep what they carry, in a cell of their own and under a region."""
+    place = "workbook_id string, sheet string, r int, c int"
+    cells = spark.createDataFrame([("w", "s", 1, 1, "str", "x", None, None)], f"{place}, dtype string, sval string, nval double, dval timestamp")
+    merges = spark.createDataFrame([("w", "s", 1, 1, 3, 1)], "workbook_id string, sheet string, r1 int, c1 int, r2 int, c2 int")
+    asked = spark.createDataFrame([("w", "s", r, 1, k) for r in (1, 2, 4) for k in ("a", "a", "b")], f"{place}, _region string")
+    got = read.look(cells, merges, asked).select("r", "_region", "sval", "addr").collect()
+    assert sorted(map(tuple, got)) == [(r, k, "x", "A1") for r in (1, 2) for k in ("a", "a", "b")]
