@@ -112,6 +112,10 @@ def test_places_under_regions_are_shuffled_once(spark, planned):
     assert all("value" not in line or "ShuffledHashJoin" in line for line in text.splitlines() if "Join" in line and "r1#" in line)
 
 
+def test_roles_shuffle_nothing(spark, planned):
+    assert "Exchange" not in planned(rows.row_roles(grids.cells(spark, SF, "orders"), grids.merges(spark, SF), buckets=grids.buckets(spark, SF)))
+
+
 def test_labels_sort_no_texts(spark, planned):
     assert "SortMergeJoin" not in planned(apply.header_labels(grids.cells(spark, SF, "orders"), order_roles(spark, SF)))
 
