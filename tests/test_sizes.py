@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from gridlens.operators import apply, read
 from gridlens.plans.catalog import queries
+from gridlens.plans.survey_queries import order_roles
 from gridlens.session import SHEET, clustered
 from gridlens.sources import grids
 
@@ -29,3 +31,24 @@ def test_settings_hold_for_queries_on_bands(spark):
     queries()["stage_bands"](spark, SF)
     assert int(spark.conf.get("spark.sql.sources.fileCompressionFactor").split(".")[0]) > 1
     assert grids.cells(spark, SF, "bands").count() > 0
+
+
+def test_values_of_items_stay_in_their_buckets(spark):
+    """What cells of their own hold is gathered where it lies; regions' values alone are shuffled, and no place is sorted to meet its cell."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cells, merges, roles = grids.cells(spark, SF, "orders"), grids.merges(spark, SF), order_roles(spark, SF)
+        data = apply.item_rows(roles).select(*SHEET, "r")
+        labels = apply.named(apply.header_labels(cells, roles), apply.name_map(spark)).select(*SHEET, "c", "canonical")
+        own, through = apply.row_parts(cells, merges, data, labels)
+        plan = own.groupBy(*SHEET, "r").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        asked = data.join(labels, SHEET)
+        key = lambda df: sorted((x["sheet"], x["r"], x["canonical"], x["sval"], x["addr"]) for x in df.collect())
+        assert key(apply.row_values(cells, merges, data, labels)) == key(read.look(cells, merges, asked))
+        assert through.count() > 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
